@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .common import LOWER, UPPER, documents
+from .common import LOWER, UPPER, documents, work_path
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -12,6 +12,18 @@ def op1_secret_scan(spark, sf_dir):
     return report(found)
 
 
+def op3_mixing(spark, sf_dir):
+    from .mixing import take_words
+
+    return take_words(documents(spark, sf_dir))
+
+
+def op4_near_dedup(spark, sf_dir):
+    from .near_dedup import near_dedup
+
+    return near_dedup(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
@@ -24,8 +36,16 @@ def op8_url_filter(spark, sf_dir):
     return filter_urls(documents(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op10_token_files(spark, sf_dir):
+    from .token_files import read_tokens, write_tokens
+
+    path = work_path(spark, "tokens")
+    write_tokens(documents(spark, sf_dir), path)
+    return read_tokens(spark, path)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op5_exact_dedup, op8_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_mixing, op4_near_dedup, op5_exact_dedup, op8_url_filter, op10_token_files)}
 
 
 _AZ = f"'{UPPER}', '{LOWER}'"
