@@ -30,6 +30,12 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark, sf_dir):
+    from .line_dedup import line_dedup
+
+    return line_dedup(documents(spark, sf_dir))
+
+
 def op8_url_filter(spark, sf_dir):
     from .url_filter import filter_urls
 
@@ -45,7 +51,7 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op3_mixing, op4_near_dedup, op5_exact_dedup, op8_url_filter, op10_token_files)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_mixing, op4_near_dedup, op5_exact_dedup, op6_line_dedup, op8_url_filter, op10_token_files)}
 
 
 _AZ = f"'{UPPER}', '{LOWER}'"
