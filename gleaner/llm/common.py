@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a work table that no later step reads, and lets Spark drop shuffle files out of use."""
+    session = df.sparkSession
+    hadoop = session.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    session.sparkContext._jvm.System.gc()
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased words ``[^\\x20\\x09-\\x0D]+``; bytes.split() splits on exactly those bytes."""
     return text.translate(LOWER_BYTES).split() if text else []
