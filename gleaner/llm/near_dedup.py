@@ -20,7 +20,7 @@ is the least. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,15 +66,17 @@ def fingerprint(hashes: np.ndarray) -> int:
 def _fingerprints(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(shingle_hashes(t.as_py(), k)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["id", "fp"])
+            fp = [fingerprint(shingle_hashes(t.as_py(), k)) for t in batch.column("text")]
+            names = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(np.array(fp, np.uint64).view(np.int64))], [*names, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints(k), "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, also: Sequence[str] = ()) -> DataFrame:
+    """(id, ``also``, fp): the fingerprint of each row; ``also`` are columns of longs to be kept."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *also, F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(_fingerprints(k), ", ".join(f"{c} long" for c in ["id", *also, "fp"]))
 
 
 # --- The tree -------------------------------------------------------------------------------
@@ -211,13 +213,33 @@ def link_forest(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.groupBy("shard", "part").applyInPandas(_forest(radius), "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, fingerprint, component_id) of each document; component_id is the least id reachable."""
-    rows = save(fingerprints(docs, id_col, text_col, k), "fingerprints")
+def groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component_id, head) of each distinct fingerprint of ``rows`` (id, fp): the least id of its
+    component, and one fingerprint that stands for the component."""
     unique = save(rows.groupBy("fp").agg(F.min("id").alias("least")), "unique")
     roots = save(components(save(link_forest(unique, radius), "links")), "roots")
     linked = unique.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = linked.join(least, "root").select("fp", "component_id")
-    named = unique.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    found = linked.join(least, "root").select("fp", "root", "component_id")
+    head, least_id = F.coalesce("root", "fp"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id"))
+    return unique.join(found, "fp", "left").select("fp", least_id.alias("component_id"), head.alias("head"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(id, fingerprint, component_id) of each document; component_id is the least id reachable."""
+    rows = save(fingerprints(docs, id_col, text_col, k), "fingerprints")
+    named = groups(rows, radius)
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component: that with the least id, of such the one with the least
+    hash of the text. Only where a row repeats in id and text are the kept rows shuffled once more."""
+    tag = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    rows = save(fingerprints(docs.select(F.struct(F.col(id_col).cast("long").alias("id"), tag.alias("tag")).alias("_key"), text_col).select("_key.*", text_col), "id", text_col, k, ["tag"]), "fingerprints")
+    kept = rows.join(groups(rows, radius), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = save(kept.groupBy("head").agg(F.min_by(F.struct("id", "tag"), "tag").alias("_at")).select(F.col("_at.id").alias("_id"), F.col("_at.tag").alias("_tag")), "kept")
+    at = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (tag == F.col("_tag"))
+    found = docs.join(kept, at, "left_semi")
+    twice = rows.groupBy("id", "tag").count().where("count > 1").limit(1).count()
+    return found.dropDuplicates([id_col, text_col]) if twice else found

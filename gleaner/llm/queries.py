@@ -12,6 +12,12 @@ def op1_secret_scan(spark, sf_dir):
     return report(found)
 
 
+def op2_decontamination(spark, sf_dir):
+    from .decontamination import find_leaks
+
+    return find_leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op3_mixing(spark, sf_dir):
     from .mixing import take_words
 
@@ -36,12 +42,25 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op8_url_filter(spark, sf_dir):
     from .url_filter import filter_urls
 
     return filter_urls(documents(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op9_quality(spark, sf_dir):
+    from .quality import fit, score
+
+    docs = documents(spark, sf_dir)
+    return score(docs, fit(docs, documents(spark, sf_dir, "labels")))
+
+
 def op10_token_files(spark, sf_dir):
     from .token_files import read_tokens, write_tokens
 
@@ -51,7 +70,8 @@ def op10_token_files(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op3_mixing, op4_near_dedup, op5_exact_dedup, op6_line_dedup, op8_url_filter, op10_token_files)}
+    found = (op1_secret_scan, op2_decontamination, op3_mixing, op4_near_dedup, op5_exact_dedup, op6_line_dedup, op7_suffix_dedup, op8_url_filter, op9_quality, op10_token_files)
+    return {f.__name__: f for f in found}
 
 
 _AZ = f"'{UPPER}', '{LOWER}'"
