@@ -5,10 +5,12 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
 A difference-cover sort of every suffix of the corpus moves each byte through several shuffles. Here
 it sorts the suffixes of only those stretches that may repeat, dealt so that equal strings meet:
 
+0. Copies. Of equal texts only the one with the least id is looked at further; the others go whole.
 1. Anchors. In every LENGTH-byte string the least hashed gram of GRAM bytes is its anchor, a function
    of the string alone, so equal strings have equal anchors at equal places. About one position in
    sixteen is an anchor. Grams are dealt by hash; those seen in two documents survive.
-2. Contexts. The bytes around a surviving anchor hold every string that it anchors. Contexts are dealt
+2. Contexts. The bytes around a surviving anchor hold the strings that it anchors, which start one
+   after another. Contexts are dealt
    by their gram, each distinct one once from a task. The strings of grams that more than 1 / MAX_HOT
    of all survivors have are dealt one by one by their own hash instead: common ones collapse in each
    task, and the others spread.
@@ -32,20 +34,22 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, save
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
-#: Texts are hashed in pieces of so many windows, so that memory is bounded for any length.
-PIECE = 1 << 22
+#: Texts are hashed in pieces of so many windows, so that memory is bounded for any length. A
+#: place in a piece has 16 bits and a gram's hash 48.
+PIECE, HASH_BYTES = 1 << 15, 6
 ANCHORS_PER_BUCKET, CONTEXT_BYTES_PER_BUCKET = 1 << 19, 1 << 22
-FLUSH_ANCHORS, FLUSH_CONTEXTS = 1 << 20, 1 << 17
+FLUSH_ANCHORS, FLUSH_CONTEXTS = 1 << 20, 1 << 19
 MAX_HOT, LEAST_HOT = 10_000, 20_000
-NO_ID, SEVERAL = (1 << 63) - 1, -(1 << 63)
+NO_ID = (1 << 63) - 1
 #: Names of the k-th level stand for 3**k bytes.
 LEVELS = next(k for k in range(1, 9) if 3**k >= LENGTH)
 
@@ -53,7 +57,7 @@ LEVELS = next(k for k in range(1, 9) if 3**k >= LENGTH)
 # --- Anchors --------------------------------------------------------------------------------
 
 def gram_hashes(x: np.ndarray, k: int = GRAM) -> np.ndarray:
-    """A 40-bit hash of each run of k bytes, from hashes of runs of 1, 2, 4 ... bytes."""
+    """A 48-bit hash of each run of k bytes, from hashes of runs of 1, 2, 4 ... bytes."""
     power = 0x9E3779B97F4A7C15
     runs, done, out = x.astype(np.uint64) + np.uint64(1), 0, None
     size, p, todo = 1, power, k
@@ -68,30 +72,27 @@ def gram_hashes(x: np.ndarray, k: int = GRAM) -> np.ndarray:
         out = out[:len(x) - k + 1]
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return out >> np.uint64(24)
+    return out >> np.uint64(64 - 8 * HASH_BYTES)
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all LENGTH-byte strings of a text, in order."""
-    at_out, hash_out = [], []
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first starts, last starts): for each anchor in turn its hash and the starts of the
+    LENGTH-byte strings that it anchors, which follow one another."""
+    out = []
     x = np.frombuffer(text, np.uint8)
     for a in range(0, len(x) - LENGTH + 1, PIECE):
         h = gram_hashes(x[a:a + PIECE + LENGTH - 1])
         # The leftmost of equal hashes is the least.
-        least = h << np.uint64(24) | np.arange(len(h), dtype=np.uint64)
+        least = h << np.uint64(16) | np.arange(len(h), dtype=np.uint64)
         reach = 1
         while 2 * reach <= WINDOW:
             least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
         rest = WINDOW - reach
         least = np.minimum(least[:len(least) - rest], least[rest:])
-        at = (least[np.r_[True, least[1:] != least[:-1]]] & np.uint64((1 << 24) - 1)).astype(np.int64)
-        at_out.append(at + a)
-        hash_out.append(h[at])
-    if not at_out:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at, h = np.concatenate(at_out), np.concatenate(hash_out)
-    at, first = np.unique(at, return_index=True)
-    return at, h[first]
+        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        at = (least[first] & np.uint64((1 << 16) - 1)).astype(np.int64)
+        out.append(np.stack([h[at].astype(np.int64), first + a, np.r_[first[1:], len(least)] - 1 + a]))
+    return tuple(np.concatenate(out, axis=1)) if out else (np.empty(0, np.int64),) * 3
 
 
 # --- Difference-cover suffix sorting -----------------------------------------------------------
@@ -173,13 +174,12 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _pack_hashes(x: np.ndarray) -> bytes:
-    """40-bit hashes in five bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
 
 
 def _unpack_hashes(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(blob) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, HASH_BYTES)
     return out.view("<u8").reshape(-1).astype(np.int64)
 
 
@@ -191,28 +191,28 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _deal_anchors(n_buckets: int):
-    """Each task asks about the grams that it saw once and tells which it saw in several documents;
-    of a gram in many documents a bucket gets one entry from a task. Bucket -1 holds (document,
-    gram) pairs that are known to repeat."""
+    """Each task asks about the grams that it saw once and tells how many documents have the others;
+    of a gram in many documents a bucket gets one entry from a flush of a task. Bucket -1 holds
+    (document, gram) pairs that are known to repeat."""
 
     def rows_of(docs: list[np.ndarray], grams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         doc, gram = np.concatenate(docs), np.concatenate(grams)
-        order = np.lexsort((doc, gram))
+        order = np.argsort(gram, kind="stable")
         doc, gram = doc[order], gram[order]
         once = np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]
         doc, gram = doc[once], gram[once]
         first = np.r_[True, gram[1:] != gram[:-1]]
-        number = np.diff(np.r_[np.flatnonzero(first), len(gram)])[np.cumsum(first) - 1]
-        ask = (number == 1) | first
-        asked, asker = gram[ask], np.where(number[ask] == 1, doc[ask], SEVERAL)
-        out = [(-1, _pack_hashes(gram[number > 1]), _pack(doc[number > 1]))] if (number > 1).any() else []
+        number = np.diff(np.r_[np.flatnonzero(first), len(gram)])
+        alone = (number == 1)[np.cumsum(first) - 1]
+        out = [] if alone.all() else [(-1, _pack_hashes(gram[~alone]), _pack(doc[~alone]), _pack(np.empty(0)))]
         # In the order of documents the differences between them are small.
+        asked, asker, number = gram[first], doc[first], np.where(number == 1, 1, number)
         by_doc = np.argsort(asker, kind="stable")
-        asked, asker = asked[by_doc], asker[by_doc]
-        out += [(b, _pack_hashes(asked[rows]), _pack(asker[rows])) for b, rows in _by_bucket(asked % n_buckets)]
+        asked, asker, number = asked[by_doc], asker[by_doc], number[by_doc]
+        out += [(b, _pack_hashes(asked[rows]), _pack(asker[rows]), _pack(number[rows])) for b, rows in _by_bucket(asked % n_buckets)]
         for a in range(0, len(out), 1024):
             cells = zip(*out[a:a + 1024])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "grams", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "grams", "docs", "numbers"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
@@ -220,10 +220,10 @@ def _deal_anchors(n_buckets: int):
         size = 0
         for batch in batches:
             for d, t in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                h = anchors(t.as_py())[1]
+                h = anchors(t.as_py())[0]
                 if len(h):
                     docs.append(np.full(len(h), d, np.int64))
-                    grams.append(h.astype(np.int64))
+                    grams.append(h)
                     size += len(h)
                 if size >= FLUSH_ANCHORS:
                     yield from rows_of(docs, grams)
@@ -235,79 +235,94 @@ def _deal_anchors(n_buckets: int):
 
 
 def _survivors(rows: pd.DataFrame) -> pd.DataFrame:
-    """(doc, gram) of a bucket's grams that several documents have. A gram has an entry from a flush
-    of a task at most."""
-    doc = np.concatenate([_unpack(x) for x in rows["docs"]])
+    """(doc, gram, null) of a bucket's grams that several documents have and that a flush saw once,
+    and (null, gram, number of documents) of those that very many have."""
+    doc, number = (np.concatenate([_unpack(x) for x in rows[c]]) for c in ("docs", "numbers"))
     gram = np.concatenate([_unpack_hashes(x) for x in rows["grams"]])
-    order = np.lexsort((doc, gram))
-    doc, gram = doc[order], gram[order]
-    first = np.r_[True, gram[1:] != gram[:-1]]
-    start = np.flatnonzero(first)
-    last = np.r_[start[1:], len(gram)] - 1
-    keep = (doc[start] != doc[last])[np.cumsum(first) - 1] & (doc != SEVERAL)
-    return pd.DataFrame({"doc": doc[keep], "gram": gram[keep]})
+    order = np.argsort(gram, kind="stable")
+    doc, gram, number = doc[order], gram[order], number[order]
+    start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    total = np.add.reduceat(number, start)
+    keep = np.repeat(total > 1, np.diff(np.r_[start, len(gram)])) & (number == 1)
+    many = start[total > LEAST_HOT]
+    doc = pd.concat([pd.Series(doc[keep], dtype="Int64"), pd.Series([None] * len(many), dtype="Int64")])
+    n = pd.concat([pd.Series([None] * int(keep.sum()), dtype="Int64"), pd.Series(total[total > LEAST_HOT], dtype="Int64")])
+    return pd.DataFrame({"doc": doc, "gram": np.concatenate([gram[keep], gram[many]]), "n": n})
 
 
 def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for g, d in zip(batch.column("grams").to_pylist(), batch.column("docs").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(_unpack(d)), pa.array(_unpack_hashes(g))], ["doc", "gram"])
+            doc = pa.array(_unpack(d))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(_unpack_hashes(g)), pa.nulls(len(doc), pa.int64())], ["doc", "gram", "n"])
+
+
+CONTEXTS = "bucket long, items binary, n_bytes long, sizes binary, grams binary, item binary, doc binary, tag binary, start binary"
 
 
-CONTEXTS = "bucket long, items binary, sizes binary, offsets binary, grams binary, item binary, doc binary, tag binary, start binary"
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, which takes half the shuffle's own compression of them."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        packed = [codec.compress(t.as_buffer(), asbytes=True) for t in batch.column("text")]
+        sizes = pa.compute.binary_length(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), sizes, pa.array(packed, pa.binary())], ["doc", "tag", "size", "text"])
 
 
-def _deal_contexts(n_buckets: int, hot: frozenset[int]):
+def _deal_contexts(n_buckets: int, hot: np.ndarray):
     """Distinct contexts and the places that have them, for each bucket."""
 
-    def rows_of(found: dict[bytes, int], grams: list[int], members: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
-        items = list(found)
-        key = np.array([xxhash.xxh64_intdigest(x) >> 1 if g < 0 else g for x, g in zip(items, grams)], np.int64)
+    def rows_of(found: dict[bytes, int], grams: list[np.ndarray], members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        items, gram = [*found], np.concatenate(grams)
+        key = gram.copy()
+        for i in np.flatnonzero(gram < 0).tolist():
+            key[i] = xxhash.xxh64_intdigest(items[i]) >> 1
         bucket = key % n_buckets
-        item, doc, tag, start = (np.array(c, np.int64) for c in zip(*members))
-        order = np.argsort(bucket[item], kind="stable")
-        item, doc, tag, start = item[order], doc[order], tag[order], start[order]
-        cut = np.searchsorted(bucket[item], np.arange(n_buckets + 1)) if n_buckets < len(item) else None
+        # Items are numbered anew within their bucket, in the order in which they were found.
+        order = np.argsort(bucket, kind="stable")
+        begins = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1]
+        local = np.empty(len(items), np.int64)
+        local[order] = np.arange(len(items)) - np.repeat(begins, np.diff(np.r_[begins, len(items)]))
+        sizes = np.fromiter(map(len, items), np.int64, len(items))
+        place = np.concatenate(members, axis=1)
+        place = place[:, np.argsort(bucket[place[0]], kind="stable")]
+        owner = bucket[place[0]]
         for b, own in _by_bucket(bucket):
-            a, z = (cut[b], cut[b + 1]) if cut is not None else np.searchsorted(bucket[item], [b, b + 1])
-            number = np.full(len(items), -1, np.int64) if len(own) > len(items) // 4 else None
-            if number is not None:
-                number[own] = np.arange(len(own))
-                local = number[item[a:z]]
-            else:
-                local = np.searchsorted(own, item[a:z])
-            joined = b"".join(items[i] for i in own.tolist())
-            cells = [b, pa.compress(joined, codec="zstd", asbytes=True), _pack(np.array([len(items[i]) for i in own.tolist()])), len(joined).to_bytes(8, "little"), _pack(np.array([grams[i] for i in own.tolist()])), _pack(local), _pack(doc[a:z]), _pack(tag[a:z]), _pack(start[a:z])]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(cells)], [x.split()[0] for x in CONTEXTS.split(", ")])
+            item, doc, tag, start = place[:, np.searchsorted(owner, b):np.searchsorted(owner, b + 1)]
+            joined = b"".join(map(items.__getitem__, own.tolist()))
+            cells = [b, pa.compress(joined, codec="zstd", asbytes=True), len(joined), *map(_pack, (sizes[own], gram[own], local[item], doc, tag, start))]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary() if isinstance(c, bytes) else pa.int64()) for c in cells], [x.split()[0] for x in CONTEXTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, int] = {}
-        grams: list[int] = []
-        members: list[tuple[int, int, int, int]] = []
-
-        def add(item: bytes, gram: int, doc: int, tag: int, start: int) -> None:
-            at = found.setdefault(item, len(grams))
-            if at == len(grams):
-                grams.append(gram)
-            members.append((at, doc, tag, start))
-
+        grams: list[np.ndarray] = []
+        members: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            for doc, tag, scalar, own in zip(batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), batch.column("grams").to_pylist()):
-                text = scalar.as_py()
-                at, h = anchors(text)
-                h = h.astype(np.int64)
-                keep = np.isin(h, np.array(own, np.int64))
-                for p, g in zip(at[keep].tolist(), h[keep].tolist()):
-                    first, last = max(0, p - WINDOW + 1), min(p, len(text) - LENGTH)
-                    if g in hot:
-                        for s in range(first, last + 1):
-                            add(text[s:s + LENGTH], -1, doc, tag, s)
-                    else:
-                        add(text[first:last + LENGTH], g, doc, tag, first)
-                    if len(members) >= FLUSH_CONTEXTS:
+            wanted = batch.column("grams")
+            edges, values = wanted.offsets.to_numpy(), wanted.values.to_numpy()
+            for row, (doc, tag, size_of, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "size", "text")))):
+                text = pa.decompress(packed, size_of, codec="zstd", asbytes=True)
+                h, firsts, lasts = anchors(text)
+                kept = np.flatnonzero(np.isin(h, values[edges[row]:edges[row + 1]]))
+                for a in range(0, len(kept), FLUSH_CONTEXTS):
+                    part = kept[a:a + FLUSH_CONTEXTS]
+                    g, first, last = h[part], firsts[part], lasts[part]
+                    if len(hot) and (common := np.isin(g, hot)).any():
+                        # Each string of a very common gram stands alone.
+                        strings = np.concatenate([np.arange(x, y + 1) for x, y in zip(first[common].tolist(), last[common].tolist())])
+                        first, last = np.concatenate([first[~common], strings]), np.concatenate([last[~common], strings])
+                        g = np.concatenate([g[~common], np.full(len(strings), -1)])
+                    before = len(found)
+                    ids = np.array([found.setdefault(text[x:y + LENGTH], len(found)) for x, y in zip(first.tolist(), last.tolist())], np.int64)
+                    new, where = np.unique(ids, return_index=True)
+                    grams.append(g[where[new >= before]])
+                    members.append(np.stack([ids, np.full(len(ids), doc), np.full(len(ids), tag), first]))
+                    size += len(ids)
+                    if size >= FLUSH_CONTEXTS:
                         yield from rows_of(found, grams, members)
-                        found, grams, members = {}, [], []
-        if members:
+                        found, grams, members, size = {}, [], [], 0
+        if size:
             yield from rows_of(found, grams, members)
 
     return run
@@ -321,7 +336,7 @@ def _spans(rows: pd.DataFrame) -> pd.DataFrame:
     for r in rows.itertuples():
         sizes = _unpack(r.sizes)
         ends = np.cumsum(sizes)
-        joined = pa.decompress(r.items, int.from_bytes(r.offsets, "little"), codec="zstd", asbytes=True)
+        joined = pa.decompress(r.items, r.n_bytes, codec="zstd", asbytes=True)
         number = np.array([found.setdefault(joined[e - n:e], len(found)) for e, n in zip(ends.tolist(), sizes.tolist())], np.int64)
         grams.append(np.stack([number, _unpack(r.grams)]))
         item.append(number[_unpack(r.item)])
@@ -395,49 +410,60 @@ def _cutter(names: list[str], text_at: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tag, spans) of the documents with bytes that go. ``doc`` is the id, NO_ID for null; ``tag``
-    tells texts with the same id apart."""
-    texts = _texts(docs, id_col, text_col)
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(doc, tag, spans) of the documents of ``texts`` (doc, tag, text) with bytes that go. ``doc`` is
+    the id, NO_ID for null; ``tag`` tells texts with the same id apart."""
     long = texts.where(F.octet_length("text") >= LENGTH)
-    n_bytes = long.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(1, ceil(n_bytes / 16 / ANCHORS_PER_BUCKET))
-    dealt = save(long.select("doc", "text").mapInArrow(_deal_anchors(buckets), "bucket long, grams binary, docs binary"), "anchors")
-    asked = dealt.where("bucket >= 0").groupBy("bucket").applyInPandas(_survivors, "doc long, gram long")
-    known = dealt.where("bucket < 0").mapInArrow(_known, "doc long, gram long")
+    rows = save(long.select("doc", "tag", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest")), "copies")
+    firsts = rows.groupBy("digest").agg(F.min("doc").alias("doc"))
+    least = firsts.select("digest", F.col("doc").alias("least"))
+    whole = rows.join(least, "digest").where("doc > least").select("doc", "tag", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")).distinct()
+    buckets = max(1, ceil((rows.agg(F.sum("n")).first()[0] or 0) / 16 / ANCHORS_PER_BUCKET))
+    dealt = save(long.select("doc", "text").mapInArrow(_deal_anchors(buckets), "bucket long, grams binary, docs binary, numbers binary"), "anchors")
+    asked = dealt.where("bucket >= 0").groupBy("bucket").applyInPandas(_survivors, "doc long, gram long, n long")
+    known = dealt.where("bucket < 0").mapInArrow(_known, "doc long, gram long, n long")
     pairs = save(asked.unionByName(known), "survivors")
     discard(dealt)
     n_pairs = pairs.count()
-    least = max(LEAST_HOT, n_pairs // MAX_HOT)
-    hot = frozenset(r.gram for r in pairs.groupBy("gram").count().where(F.col("count") > least).select("gram").collect())  # MAX_HOT at most
+    most = max(LEAST_HOT, n_pairs // MAX_HOT)
+    hot = np.array([r.gram for r in pairs.where(F.col("n") > most).select("gram").collect()], np.int64)  # MAX_HOT at most
     buckets = max(1, ceil(n_pairs * (LENGTH + WINDOW) / CONTEXT_BYTES_PER_BUCKET))
-    own = pairs.groupBy("doc").agg(F.collect_list("gram").alias("grams"))  # a document has as many as its anchors at most
-    joined = long.join(own.hint("shuffle_hash"), "doc").select("doc", "tag", "text", "grams")
-    contexts = save(joined.mapInArrow(_deal_contexts(buckets, hot), CONTEXTS), "contexts")
-    discard(pairs)
+    own = pairs.where("n is null").groupBy("doc").agg(F.collect_list("gram").alias("grams"))  # a document has as many as its anchors at most
+    own = own.join(firsts.select("doc").distinct(), "doc", "left_semi")
+    packed = long.select("doc", "tag", "text").mapInArrow(_squeeze, "doc long, tag long, size int, text binary")
+    joined = packed.join(own.hint("shuffle_hash"), "doc").select("doc", "tag", "size", "text", "grams")
+    contexts = joined.mapInArrow(_deal_contexts(buckets, hot), CONTEXTS)
     spans = contexts.groupBy("bucket").applyInPandas(_spans, "doc long, tag long, start long, stop long")
-    spans = save(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    discard(contexts)
+    spans = save(spans.unionByName(whole).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    discard(pairs)
     return spans
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _tag(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells texts with the same id apart: their hash, or nothing where no id repeats."""
+    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if repeated else F.lit(0).cast("long")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, tag: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
+    return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), tag.alias("tag"), text.cast("binary").alias("text"))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each document row."""
-    spans = repeated_spans(docs, id_col, text_col)
-    rows = _texts(docs, id_col, text_col).join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("id", "text", "spans")
+    texts = _texts(docs, id_col, text_col, _tag(docs, id_col, text_col))
+    spans = repeated_spans(texts)
+    rows = texts.join(spans.hint("shuffle_hash"), ["doc", "tag"], "left").select("id", "text", "spans")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return rows.withColumn("id", F.col("id").cast("long")).mapInArrow(_cut, schema).withColumnRenamed("id", id_col)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of the texts; bytes of a letter cut in two go as well."""
-    spans = repeated_spans(docs, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
+    tag = _tag(docs, id_col, text_col)
+    spans = repeated_spans(_texts(docs, id_col, text_col, tag)).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.join(spans, (key == F.col("_doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_tag")), "left")
+    rows = docs.join(spans, (key == F.col("_doc")) & (tag == F.col("_tag")), "left")
     return rows.select(*docs.columns, "_spans").mapInArrow(_cutter(docs.columns, docs.columns.index(text_col)), docs.schema)

@@ -26,8 +26,11 @@ def test_equal_strings_have_equal_anchors():
     rng = random.Random(1)
     for shared in (rng.randbytes(LENGTH), b"ab" * 25, b"a" * LENGTH):
         a, b = rng.randbytes(77) + shared + rng.randbytes(30), shared + rng.randbytes(90)
-        found = [{(p - at, h) for p, h in zip(*(x.tolist() for x in anchors(t))) if at <= p <= at + 30} for t, at in ((a, 77), (b, 0))]
-        assert found[0] & found[1]
+        for t, at in ((a, 77), (b, 0)):
+            starts = [s for _, x, y in zip(*anchors(t)) for s in range(x, y + 1)]
+            assert starts == list(range(len(t) - LENGTH + 1))
+        one, two = ([h for h, x, y in zip(*anchors(t)) if x <= at <= y] for t, at in ((a, 77), (b, 0)))
+        assert one == two
 
 
 def brute(rows):
