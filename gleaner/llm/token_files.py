@@ -13,6 +13,7 @@ equal ids follow each other, by a hash of the text. An empty table gives no segm
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ SEGMENT_TOKENS = 1 << 20
 #: Every so many documents the place of its one bit is kept.
 SELECT_EVERY = 256
 #: Pieces between white space whose ids a worker remembers, for speed alone.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 SEGMENT_SCHEMA = "part int, segment int, first_token long, n_docs int, n_nulls int, n_tokens int, width int, ends binary, least_id long, doc_ids binary, ids binary"
 
@@ -85,7 +86,12 @@ def ef_select(blob: bytes, i: int) -> int:
 # --- Tokens ---------------------------------------------------------------------------------
 
 _tokenizers: dict[str, object] = {}
-_known: dict[str, dict[bytes, bytes]] = {}
+#: For each vocabulary: the ids of stretches without white space, and of single words and marks.
+_known: dict[str, tuple[dict[bytes, bytes], dict[str, bytes]]] = {}
+#: A word of letters that no normalisation joins with its neighbours, between ASCII marks. The
+#: vocabularies with word ends cut text at the borders of letters and lower-case it.
+_WORD = re.compile(r"([!-&(-/:-@\[-^`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+_WORD_END = "</w>"
 
 
 def _tokenizer(vocabulary: str):
@@ -106,28 +112,75 @@ def id_width(vocabulary: str, end_id: int) -> int:
     return 2 if max(_tokenizer(vocabulary).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
+def _encode_words(words: list[str], vocabulary: str, dtype: str) -> list[bytes]:
+    """The ids of each word, all encoded as one text and cut where a token ends a word."""
+    tokenizer = _tokenizer(vocabulary)
+    ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+    if vocabulary not in _ends:
+        vocab = tokenizer.get_vocab()
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for t, i in vocab.items() if t.endswith(_WORD_END)]] = True
+        _ends[vocabulary] = ends
+    raw, cut = ids.astype(dtype).tobytes(), ((np.flatnonzero(_ends[vocabulary][ids]) + 1) * np.dtype(dtype).itemsize).tolist()
+    if len(cut) == len(words):
+        return [raw[a:b] for a, b in zip([0, *cut], cut)]
+    return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+_ends: dict[str, np.ndarray] = {}
+
+
+def _learn(stretches: set[bytes], vocabulary: str, dtype: str) -> None:
+    """Encodes stretches that are not known yet, by their words and marks where they have such."""
+    known, words = _known[vocabulary]
+    parts, rest = {}, []
+    every = b" ".join(stretches).decode()
+    special = [t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values() if t.content in every]
+    for p in stretches:
+        text = p.decode()
+        m = _WORD.fullmatch(text)
+        if m and not (special and any(t in text for t in special)):
+            parts[p] = (m[1], m[2].lower(), m[3])
+        else:
+            rest.append(p)
+    new = [*{w for own in parts.values() for w in own if w and w not in words}]
+    words[""] = b""
+    if new:
+        words.update(zip(new, _encode_words(new, vocabulary, dtype)))
+    for p, (a, b, c) in parts.items():
+        known[p] = words[a] + words[b] + words[c]
+    for p, e in zip(rest, _tokenizer(vocabulary).encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)):
+        known[p] = np.array(e.ids, dtype).tobytes()
+
+
 def encode_texts(texts: list[bytes | None], vocabulary: str, dtype: str) -> list[bytes]:
     """The ids of each whole text as an array's bytes.
 
     The vocabulary drops white space and looks at no piece across it, so a text's ids are those of
-    its pieces between white space in turn, and a piece seen before need not be encoded again.
+    its stretches between white space in turn, and a stretch seen before need not be encoded again.
     """
-    known = _known.setdefault(vocabulary, {})
-    out = []
+    known, words = _known.setdefault(vocabulary, ({}, {}))
+    if len(known) > REMEMBERED:
+        known.clear()
+    if len(words) > REMEMBERED:
+        words.clear()
+    found, gaps, missing = [], [], set()
     for text in texts:
         pieces = text.split() if text else []
-        try:
-            out.append(b"".join(map(known.__getitem__, pieces)))
-            continue
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for p, e in zip(new, _tokenizer(vocabulary).encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            known[p] = np.array(e.ids, dtype).tobytes()
-        out.append(b"".join(map(known.__getitem__, pieces)))
-    return out
+        ids = [*map(known.get, pieces)]
+        if None in ids:
+            gap, i = [], -1
+            for _ in range(ids.count(None)):
+                i = ids.index(None, i + 1)
+                gap.append(i)
+            missing.update(map(pieces.__getitem__, gap))
+            gaps.append((ids, pieces, gap))
+        found.append(ids)
+    _learn(missing, vocabulary, dtype)
+    for ids, pieces, gap in gaps:
+        for i in gap:
+            ids[i] = known[pieces[i]]
+    return [b"".join(ids) for ids in found]
 
 
 def _writer(vocabulary: str, end_id: int, segment_tokens: int):
