@@ -32,6 +32,8 @@ BLOCK_WORDS = 128
 MIN_SHARDS, WORDS_PER_SHARD = 16, 1 << 28
 #: The plan has a number for each source and shard; the number of shards is lowered to keep to it.
 MAX_PLAN = 10_000_000
+#: Draws that a task makes at most, roughly.
+DRAWS_PER_TASK = 500_000
 SEED = 20240601
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -122,7 +124,7 @@ def draw_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
         first = np.cumsum(drawn, 0) - drawn
         plan = [(int(rows[s].source_id), n_blocks[s], int(k), int(first[k, s]), int(drawn[k, s])) for k, s in zip(*np.nonzero(drawn))]
     slots = (
-        spark.createDataFrame(plan, schema).repartition("source_id", "shard")
+        spark.createDataFrame(plan, schema).repartition(max(8, ceil(sum(r[-1] for r in plan) / DRAWS_PER_TASK)), "source_id", "shard")
         .select("source_id", "n_blocks", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     )
     return slots.mapInPandas(_with_blocks(seed), "shard int, source_id int, slot long, block long, epoch long")
@@ -160,14 +162,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed, targets = _placed(_sized(docs, id_col, text_col, source_col))
     placed = save(placed, "placed")
     draws = draw_blocks(targets, block_words, seed)
-    return placed, targets, draws.join(pack_blocks(placed, block_words), ["source_id", "block"])
+    # Both sides grow with the corpus, whatever the size of the plan of draws says.
+    return placed, targets, draws.hint("merge").join(pack_blocks(placed, block_words), ["source_id", "block"])
 
 
 def take_words(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """For each document its size, its source's size and target, and the words the mix takes of it."""
     placed, targets, mixed = mix(docs, id_col, **options)
     taken = mixed.groupBy("source_id", "before").agg(F.sum("n_words").alias("_taken"))
-    placed = placed.join(taken, ["source_id", "before"], "left").join(targets.select("source_id", "source_size", "target"), "source_id")
+    placed = placed.join(taken.hint("merge"), ["source_id", "before"], "left").join(targets.select("source_id", "source_size", "target"), "source_id")
     has = (F.col("size") > 0) & F.col("_taken").isNotNull()
     return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(has, F.col("_taken")).otherwise(F.lit(0)).cast("long").alias("taken"))
 
@@ -206,10 +209,10 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     pieces = mixed.groupBy("source_id", "before").agg(F.collect_list(F.struct("epoch", "from_word", "n_words")).alias("pieces"))
     # Rows that are the same in id and text are told apart by source, then by number.
     turn = Window.partitionBy("id", "tie").orderBy("source_id", "before")
-    small = placed.withColumn("_turn", F.row_number().over(turn)).where("size > 0").join(pieces, ["source_id", "before"])
+    small = placed.withColumn("_turn", F.row_number().over(turn)).where("size > 0").join(pieces.hint("merge"), ["source_id", "before"])
     small = small.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "size", "_turn", "pieces")
     again = Window.partitionBy(id_col, "_tie2").orderBy(F.col(source_col).asc_nulls_last())
     texts = docs.withColumn("_tie2", F.xxhash64(text_col)).withColumn("_turn2", F.row_number().over(again))
-    rows = texts.join(small, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_tie2") == F.col("_tie")) & (F.col("_turn2") == F.col("_turn")))
+    rows = texts.join(small.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_tie2") == F.col("_tie")) & (F.col("_turn2") == F.col("_turn")))
     rows = rows.select(*columns, "size", "pieces")
     return rows.mapInArrow(_cut(columns.index(text_col), columns), docs.schema)
