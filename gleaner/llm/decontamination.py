@@ -36,7 +36,7 @@ from .common import save, words_of
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS = 128, 47
 ITEMS_PER_PASS, ITEM_BYTES = 5_000, 1 << 16
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 FOUND = "doc_id long, item_id long, first_word long, n_words int, similarity double"
 
 _words: dict[bytes, int] = {}

@@ -29,7 +29,7 @@ SEGMENT_TOKENS = 1 << 20
 #: Every so many documents the place of its one bit is kept.
 SELECT_EVERY = 256
 #: Pieces between white space whose ids a worker remembers, for speed alone.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 SEGMENT_SCHEMA = "part int, segment int, first_token long, n_docs int, n_nulls int, n_tokens int, width int, ends binary, least_id long, doc_ids binary, ids binary"
 
