@@ -1,0 +1,301 @@
+"""What pages hold: embedded JSON, JSON-LD, microdata, repeated cards, galleries, contacts, links.
+
+One pass of the standard library's parser over each page in a worker gives flat rows (page, kind, ord,
+key, value); everything after that is DataFrame work. Unclosed and void tags are closed where their
+parent ends, so malformed pages give rows too.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections import Counter
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .json_shapes import balanced, best_records, shape_score
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Script variables and element ids that hold a page's state.
+STATE_MARKS = re.compile(r"(?:window\.)?(?:__NEXT_DATA__|__NUXT__|__INITIAL_STATE__|__PRELOADED_STATE__|__APOLLO_STATE__|__DATA__|[A-Za-z_$][\w$]*(?:Data|State|Listings|Properties))\s*=\s*")
+SCHEMA_TYPES = ("RealEstateListing", "Residence", "Apartment", "House", "SingleFamilyResidence", "Product", "Offer", "Place")
+ORGANISATIONS = {"Organization", "LocalBusiness", "RealEstateAgent"}
+PRICE = re.compile(r"[£$€]\s?[\d,]+(?:\.\d{2})?|\d{1,3}(?:,\d{3})+(?:\s?(?:pcm|pw|pa|pm))?", re.I)
+BEDS, BATHS = re.compile(r"(\d+)\s*(?:bed(?:room)?s?|br)\b", re.I), re.compile(r"(\d+)\s*(?:bath(?:room)?s?)\b", re.I)
+POSTCODE = re.compile(r"\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b")
+STREET = re.compile(r"\b(?:street|road|avenue|lane|drive|close|way|court|place)\b", re.I)
+IMAGE_ATTRIBUTES = ("src", "data-src", "data-lazy-src", "data-original", "data-url", "data-image", "data-large", "data-full", "data-full-image", "data-zoom-image")
+MAX_SCRIPT, MAX_OPTIONS = 12_000_000, 200
+
+
+class _Node:
+    __slots__ = ("tag", "attrs", "children", "parent", "bits")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent):
+        self.tag, self.attrs, self.parent, self.children, self.bits = tag, attrs, parent, [], []
+
+    def walk(self) -> Iterator[_Node]:
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(x for x in reversed(node.children) if isinstance(x, _Node))
+
+    def text(self) -> str:
+        out, stack = [], [self]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                out.append(x)
+            elif x.tag not in ("script", "style"):
+                stack.extend(reversed(x.children))
+        return " ".join(" ".join(out).split())
+
+
+class _Tree(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = _Node("", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_startendtag(self, tag, attrs):
+        self.at.children.append(_Node(tag, {k: v or "" for k, v in attrs}, self.at))
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node is not None and node.tag != tag:
+            node = node.parent
+        if node is not None and node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def parse(html: str | None) -> _Node:
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    return tree.root
+
+
+def _raw(node: _Node) -> str:
+    return "".join(x for x in node.children if isinstance(x, str))
+
+
+def _json(text: str) -> object:
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _flat(x: object) -> Iterator[dict]:
+    for item in x if isinstance(x, list) else [x]:
+        if isinstance(item, dict):
+            yield item
+            if "@graph" in item:
+                yield from _flat(item["@graph"])
+
+
+def is_property(item: dict) -> bool:
+    types = item.get("@type") or []
+    types = [str(t) for t in (types if isinstance(types, list) else [types])]
+    if any(t in ORGANISATIONS for t in types):
+        return False
+    return any(s in t for t in types for s in SCHEMA_TYPES) or shape_score(item) >= 4
+
+
+def listing_from_jsonld(item: dict) -> dict:
+    """A JSON-LD item in the columns of a listing. Price is currency and amount, as told."""
+    first = lambda x: x[0] if isinstance(x, list) and x else x
+    offer = first(item.get("offers")) or {}
+    offer = offer if isinstance(offer, dict) else {}
+    address, geo = item.get("address"), item.get("geo") if isinstance(item.get("geo"), dict) else {}
+    if isinstance(address, dict):
+        address = ", ".join(str(address[k]) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry") if address.get(k))
+    price = offer.get("price") or (offer.get("priceSpecification") or {}).get("price") or item.get("price")
+    images = item.get("image") or item.get("photo") or []
+    images = [x.get("url") or x.get("contentUrl") if isinstance(x, dict) else x for x in (images if isinstance(images, list) else [images])]
+    size = item.get("floorSize")
+    return {
+        "title": item.get("name") or item.get("headline"), "description": item.get("description"),
+        "price": None if price is None else f"{offer.get('priceCurrency') or ''}{price}", "currency": offer.get("priceCurrency"),
+        "address": address, "latitude": geo.get("latitude"), "longitude": geo.get("longitude"),
+        "bedrooms": item.get("numberOfBedrooms") or item.get("numberOfRooms"), "bathrooms": item.get("numberOfBathroomsTotal") or item.get("numberOfBathrooms"),
+        "sqft": size.get("value") if isinstance(size, dict) else size, "images": [str(x) for x in images if x], "url": item.get("url"),
+    }
+
+
+def _card(node: _Node, text: str) -> dict:
+    nodes = [*node.walk()]
+    links = [n for n in nodes if n.tag == "a" and n.attrs.get("href")]
+    heading = next((n.text() for n in nodes if re.fullmatch("h[1-6]", n.tag) and n.text()), None)
+    alt = next((n.attrs["alt"] for n in nodes if n.tag == "img" and n.attrs.get("alt")), None)
+    href = links[0].attrs["href"] if links else None
+    slug = re.sub("[-_]+", " ", href.rstrip("/").rsplit("/", 1)[-1]) if href else None
+    found = lambda r, g=0: m[g] if (m := r.search(text)) else None
+    return {
+        "title": heading or next((n.text() for n in links if n.text()), None) or alt or slug, "price": found(PRICE), "bedrooms": found(BEDS, 1),
+        "bathrooms": found(BATHS, 1), "postcode": found(POSTCODE), "url": href, "images": images_of(node),
+    }
+
+
+def images_of(node: _Node) -> list[str]:
+    """Picture links below a node. Two or more inside a gallery are all there is."""
+    def links(top: _Node) -> list[str]:
+        out: dict[str, None] = {}
+        for n in top.walk():
+            if n.tag in ("img", "source"):
+                for a in IMAGE_ATTRIBUTES:
+                    if n.attrs.get(a):
+                        out.setdefault(n.attrs[a])
+                for part in n.attrs.get("srcset", "").split(","):
+                    if part.strip():
+                        out.setdefault(re.sub(r"^>\d+:", "", part.strip()).split()[0])
+            for u in re.findall(r"url\(['\"]?([^'\")]+)", n.attrs.get("style", "")):
+                out.setdefault(u)
+        return [*out]
+
+    inside: dict[str, None] = {}
+    for n in node.walk():
+        if re.search("gallery|carousel|slider|swiper|slideshow", n.attrs.get("class", "") + " " + n.attrs.get("id", ""), re.I):
+            inside.update(dict.fromkeys(links(n)))
+    return [*inside] if len(inside) >= 2 else [*dict.fromkeys([*inside, *links(node)])]
+
+
+def cards(root: _Node) -> list[dict]:
+    """The best group of repeated elements with a price, as listings."""
+    groups: dict[tuple, list[tuple[_Node, str]]] = {}
+    for n in root.walk():
+        if not n.attrs.get("class") or n.tag in ("select", "option", "form", "nav", "header", "footer"):
+            continue
+        above, skip = n.parent, False
+        while above is not None and not skip:
+            skip, above = above.tag in ("select", "option", "form", "nav", "header", "footer"), above.parent
+        text = n.text()
+        if skip or not 20 <= len(text) <= 2000 or not PRICE.search(text):
+            continue
+        if len(PRICE.findall(text)) > 4 and not any(x.tag == "a" and re.search("propert|detail", x.attrs.get("href", "")) for x in n.walk()):
+            continue
+        groups.setdefault((n.tag, " ".join(sorted(n.attrs["class"].split()))), []).append((n, text))
+    full = [g for g in groups.values() if len(g) >= 2]
+    score = lambda g: len(g) * (1 + any(BEDS.search(t) for _, t in g) + any(STREET.search(t) for _, t in g))
+    return [_card(n, t) for n, t in max(full, key=score)] if full else []
+
+
+def page_rows(html: str | None) -> Iterator[tuple[str, str, str | None]]:
+    """(kind, key, value) of everything that a page tells. Records are JSON."""
+    root = parse(html)
+    nodes = [*root.walk()]
+    meta: dict[str, str] = {}
+    for n in nodes:
+        a = n.attrs
+        if n.tag == "script":
+            body = _raw(n)
+            if len(body) > MAX_SCRIPT:
+                continue
+            if a.get("type") == "application/ld+json":
+                for item in _flat(_json(body)):
+                    kind = "jsonld" if is_property(item) else "jsonld_other"
+                    yield kind, str(item.get("@type")), json.dumps(listing_from_jsonld(item) if kind == "jsonld" else item, ensure_ascii=False)
+            elif "json" in a.get("type", ""):
+                if (x := _json(body)) is not None:
+                    yield "embedded", a.get("id", "json"), json.dumps(x, ensure_ascii=False)
+            else:
+                for m in STATE_MARKS.finditer(body):
+                    if (x := _json(balanced(body, m.end()) or "")) is not None:
+                        yield "embedded", m[0].split("=")[0].strip(), json.dumps(x, ensure_ascii=False)
+        elif n.tag in ("input", "textarea"):
+            value = (a.get("value") if n.tag == "input" else _raw(n)) or ""
+            if value.strip()[:1] in ("{", "[") and (x := _json(value)) is not None:
+                yield "embedded", a.get("name", n.tag), json.dumps(x, ensure_ascii=False)
+        elif n.tag == "meta" and (a.get("property") or a.get("name")):
+            meta.setdefault(a.get("property") or a["name"], a.get("content", ""))
+        elif n.tag == "link" and a.get("rel") == "canonical":
+            meta.setdefault("canonical", a.get("href", ""))
+        elif n.tag == "a" and a.get("href"):
+            href = a["href"]
+            if href.lower().startswith("mailto:"):
+                yield "email", "mailto", href[7:].split("?")[0]
+            elif href.lower().startswith("tel:"):
+                yield "phone", "tel", href[4:]
+            else:
+                yield "link", n.text(), href
+            if a.get("rel") == "next" or re.fullmatch(r"\s*(?:next(?:\s+page)?|older(?:\s+posts)?)\s*[›»>]*\s*", n.text(), re.I):
+                yield "next_page", n.text(), href
+        elif n.tag == "select" and re.search("location|area|place|town|city|region|branch", a.get("name", "") + a.get("id", ""), re.I):
+            options = [x for x in n.walk() if x.tag == "option" and x.attrs.get("value")]
+            for x in options[:MAX_OPTIONS]:
+                yield "place_option", a.get("name", ""), x.attrs["value"]
+        if "itemtype" in a and any(s in a["itemtype"] for s in SCHEMA_TYPES):
+            props = {x.attrs["itemprop"]: x.attrs.get("content") or x.text() for x in n.walk() if x.attrs.get("itemprop")}
+            if len(props) >= 2:
+                yield "microdata", a["itemtype"].rsplit("/", 1)[-1], json.dumps(props, ensure_ascii=False)
+    for card in cards(root):
+        yield "card", "", json.dumps(card, ensure_ascii=False)
+    for u in images_of(root):
+        yield "image", "", u
+    title, text = meta.get("og:title"), root.text()
+    if title and (PRICE.search(text) or BEDS.search(text)) and re.search("propert|house|flat|apartment|bedroom|rent|sale", text + title, re.I):
+        price = PRICE.search(text)
+        yield "opengraph", "", json.dumps({"title": title, "description": meta.get("og:description"), "url": meta.get("og:url") or meta.get("canonical"), "images": [meta["og:image"]] if meta.get("og:image") else [], "price": price[0] if price else None}, ensure_ascii=False)
+
+
+def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, kind, ord, name, value) for everything that pages tell, in the pages' own order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(k, kind, i, name, value) for k, h in zip(rows["k"], rows["h"]) for i, (kind, name, value) in enumerate(page_rows(h))]
+            yield pd.DataFrame(out, columns=["k", "kind", "ord", "name", "value"])
+
+    rows = pages.select(F.col(key).alias("k"), F.col(html).alias("h"))
+    return rows.mapInPandas(run, f"k {dict(pages.dtypes)[key]}, kind string, ord int, name string, value string").withColumnRenamed("k", key)
+
+
+#: Strategies in the order in which they are trusted.
+STRATEGIES = ["embedded", "jsonld", "microdata", "card", "opengraph"]
+
+
+def first_strategy(found: DataFrame, key: str = "page_id") -> DataFrame:
+    """The records of each page's first strategy that gave any; embedded state needs four field groups."""
+
+    @F.pandas_udf("array<string>")
+    def records(kinds: pd.Series, values: pd.Series) -> pd.Series:
+        def one(kind: str, value: str) -> list[str]:
+            if kind != "embedded":
+                return [value]
+            score, _, rows = best_records(_json(value))
+            return [json.dumps(r, ensure_ascii=False) for r in rows] if score >= 4 else []
+
+        return pd.Series([one(k, v) for k, v in zip(kinds, values)])
+
+    ranked = found.where(F.col("kind").isin(STRATEGIES)).withColumn("_rank", F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("kind")))
+    rows = ranked.select(key, "_rank", F.col("kind").alias("strategy"), "ord", F.posexplode(records("kind", "value")).alias("pos", "raw"))
+    best = rows.groupBy(key).agg(F.min("_rank").alias("_rank"))
+    return rows.join(best, [key, "_rank"], "left_semi").drop("_rank")
+
+
+def repeated_selectors(pages: DataFrame, key: str = "page_id", html: str = "html", top: int = 10) -> DataFrame:
+    """Tags with classes whose elements hold a price, by number, the ``top`` of each page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for k, h in zip(rows["k"], rows["h"]):
+                c = Counter(f"{n.tag}.{n.attrs['class']}" for n in parse(h).walk() if n.attrs.get("class") and PRICE.search(n.text()[:5000]))
+                out += [(k, s, n) for s, n in c.most_common(top)]
+            yield pd.DataFrame(out, columns=["k", "selector", "n"])
+
+    rows = pages.select(F.col(key).alias("k"), F.col(html).alias("h"))
+    return rows.mapInPandas(run, f"k {dict(pages.dtypes)[key]}, selector string, n int").withColumnRenamed("k", key)
