@@ -184,7 +184,7 @@ def _cut(text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, texts = [], []
-            for i, (text, size, pieces) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column("size").to_pylist(), batch.column("pieces").to_pylist())):
+            for i, (text, size, pieces) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())):
                 spans: list[tuple[int, int]] | None = None
                 for epoch in sorted({p["epoch"] for p in pieces}):
                     own = sorted((p["from_word"], p["n_words"]) for p in pieces if p["epoch"] == epoch)
@@ -210,9 +210,9 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     # Rows that are the same in id and text are told apart by source, then by number.
     turn = Window.partitionBy("id", "tie").orderBy("source_id", "before")
     small = placed.withColumn("_turn", F.row_number().over(turn)).where("size > 0").join(pieces.hint("merge"), ["source_id", "before"])
-    small = small.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "size", "_turn", "pieces")
+    small = small.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), "_turn", F.col("pieces").alias("_pieces"))
     again = Window.partitionBy(id_col, "_tie2").orderBy(F.col(source_col).asc_nulls_last())
     texts = docs.withColumn("_tie2", F.xxhash64(text_col)).withColumn("_turn2", F.row_number().over(again))
     rows = texts.join(small.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_tie2") == F.col("_tie")) & (F.col("_turn2") == F.col("_turn")))
-    rows = rows.select(*columns, "size", "pieces")
+    rows = rows.select(*columns, "_size", "_pieces")
     return rows.mapInArrow(_cut(columns.index(text_col), columns), docs.schema)
