@@ -13,6 +13,9 @@ every component and no more edges than it has fingerprints.
 Shards that hold far more fingerprints than planned, since the sample could not tell them apart, are
 cut into parts that meet pair by pair.
 
+``keep_one`` also joins texts whose 5-word shingles are alike by SIMILARITY or more but whose
+fingerprints lie further apart: ``similar_texts``.
+
 Null and empty texts have fingerprint zero and link like any other. Texts of fewer words than a
 shingle have the whole sequence as their only shingle. Repeated rows each get a row; a null id never
 is the least. An empty table gives an empty result. Other columns are ignored.
@@ -20,6 +23,7 @@ is the least. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -37,6 +41,10 @@ SAMPLE, SHARD = 1 << 15, 8192
 #: A shard is cut beyond this many times SHARD, or beyond 1 / MAX_CUT of all fingerprints.
 CUT_FACTOR, MAX_CUT = 4, 10_000
 TILE = 1 << 18
+#: Where a group keeps one text: shingles and similarity that decide, shingles a segment, and up to
+#: how many places of texts are broadcast; orders of fingerprints, and segments of a short text.
+TEXT_SHINGLE, SIMILARITY, SEGMENT, BROADCAST_PLACES = 5, 0.8, 8, 500_000
+ORDERS, SHORT = 8, 24
 
 
 def shingle_hashes(text: bytes | None, k: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -213,11 +221,12 @@ def link_forest(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.groupBy("shard", "part").applyInPandas(_forest(radius), "a long, b long")
 
 
-def groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+def groups(rows: DataFrame, radius: int = RADIUS, links: DataFrame | None = None) -> DataFrame:
     """(fp, component_id, head) of each distinct fingerprint of ``rows`` (id, fp): the least id of its
-    component, and one fingerprint that stands for the component."""
+    component, and one fingerprint that stands for the component. ``links`` (a, b) join more of them."""
     unique = save(rows.groupBy("fp").agg(F.min("id").alias("least")), "unique")
-    roots = save(components(save(link_forest(unique, radius), "links")), "roots")
+    edges = link_forest(unique, radius)
+    roots = save(components(save(edges if links is None else edges.unionByName(links), "links")), "roots")
     linked = unique.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     found = linked.join(least, "root").select("fp", "root", "component_id")
@@ -232,12 +241,89 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+# --- Texts that are alike beyond the radius --------------------------------------------------
+
+def segments(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of shingles between cuts, which only the shingles themselves decide."""
+    cuts = np.flatnonzero(hashes % np.uint64(SEGMENT) == 0)
+    starts = np.unique(np.r_[0, cuts])
+    if not len(hashes):
+        return hashes
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return np.unique(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts))
+
+
+def _segmented(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, own = [], []
+            for t in batch.column("text"):
+                h = shingle_hashes(t.as_py(), k)
+                fp.append(fingerprint(h))
+                own.append(segments(h).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(own, pa.list_(pa.int64()))], ["id", "tag", "fp", "segments"])
+
+    return run
+
+
+def similarity(a: bytes, b: bytes, k: int) -> float:
+    """Weighted similarity of two texts' k-word shingles."""
+    x, y = (Counter(shingle_hashes(t, k).tolist()) for t in (a, b))
+    both = (x & y).total()
+    return both / max(1, x.total() + y.total() - both)
+
+
+def _alike(k: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similarity(x.as_py(), y.as_py(), k) >= least for x, y in zip(batch.column("ta"), batch.column("tb"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def similar_texts(texts: DataFrame, rows: DataFrame, k: int = TEXT_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between fingerprints of ``rows`` (id, tag, fp, segments) whose ``texts`` (id, tag,
+    text) have a similarity of ``least`` or more.
+
+    Texts that are alike share most of their segments. Segments have one of ORDERS colours; each
+    leads its texts to the first and the last of them in its colour's order of fingerprints, so a
+    segment of very many texts makes two pairs a text, and texts of a group meet through several of
+    them. Pairs that meet twice in a colour, or of which both are short, are compared by their whole
+    texts. Texts that are alike only to a third one in the middle are joined through it.
+    """
+    one = save(rows.where(F.size("segments") > 0).groupBy("fp").agg(F.min_by(F.struct("id", "tag", "segments"), F.struct("id", "tag")).alias("r")).select("fp", "r.*"), "one")
+    sizes = one.select("fp", F.size("segments").alias("n"))
+    has = one.select("fp", F.explode("segments").alias("segment")).withColumn("colour", F.pmod("segment", F.lit(ORDERS)).cast("int"))
+    order = F.xxhash64("fp", "colour")
+    ends = has.groupBy("segment").agg(F.min_by("fp", order).alias("first"), F.max_by("fp", order).alias("last")).where("first <> last")
+    met = has.join(ends, "segment").select("fp", "colour", F.explode(F.array_distinct(F.array("first", "last"))).alias("end")).where("fp <> end")
+    pairs = met.groupBy(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"), "colour").agg(F.count(F.lit(1)).alias("met"))
+    pairs = pairs.groupBy("a", "b").agg(F.max("met").alias("met"))
+    pairs = pairs.join(sizes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
+    # The numbers of segments of texts that are alike differ by their likeness at most, and some for the cuts.
+    close = F.greatest("na", "nb") * least <= F.least("na", "nb") * 1.3 + 2
+    pairs = save(pairs.where(close & ((F.col("met") >= 2) | (F.greatest("na", "nb") <= SHORT))).select("a", "b"), "near_texts")
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    places = save(one.select("fp", F.col("id").alias("_id"), F.col("tag").alias("_tag")).join(wanted, "fp", "left_semi"), "places")
+    side = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places.hint("merge")
+    found = texts.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("fp", F.col("text").cast("binary").alias("text")).dropDuplicates(["fp"])
+    found = save(found, "near_bodies")
+    told = pairs.join(found.select(F.col("fp").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(found.select(F.col("fp").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    return told.mapInArrow(_alike(k, least), "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: that with the least id, of such the one with the least
-    hash of the text. Only where a row repeats in id and text are the kept rows shuffled once more."""
+    hash of the text. Components join fingerprints within the radius and texts of similarity ``least``.
+    Only where a row repeats in id and text are the kept rows shuffled once more."""
     tag = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    rows = save(fingerprints(docs.select(F.struct(F.col(id_col).cast("long").alias("id"), tag.alias("tag")).alias("_key"), text_col).select("_key.*", text_col), "id", text_col, k, ["tag"]), "fingerprints")
-    kept = rows.join(groups(rows, radius), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).cast("binary").alias("text"))
+    rows = save(texts.mapInArrow(_segmented(k), "id long, tag long, fp long, segments array<long>"), "fingerprints")
+    links = save(similar_texts(texts, rows, TEXT_SHINGLE, least), "similar")
+    named = groups(rows, radius, links)
+    kept = rows.select("id", "tag", "fp").join(named, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
     kept = save(kept.groupBy("head").agg(F.min_by(F.struct("id", "tag"), "tag").alias("_at")).select(F.col("_at.id").alias("_id"), F.col("_at.tag").alias("_tag")), "kept")
     at = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (tag == F.col("_tag"))
     found = docs.join(kept, at, "left_semi")

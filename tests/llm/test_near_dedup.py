@@ -78,3 +78,22 @@ def test_one_stays(spark):
     kept = sorted(((r.doc_id, r.text) for r in m.keep_one(docs).collect()), key=str)
     assert kept == sorted([(1, text.upper()), (5, "another text entirely"), (9, "")], key=str)
     assert m.keep_one(docs.limit(0)).count() == 0
+
+
+def test_edited_copies_go_and_others_stay(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, groups = [], 60
+    for g in range(groups):
+        words = rng.choices(vocabulary, k=rng.choice([60, 200, 500]))
+        rows.append((10 * g, words))
+        for c in range(rng.randint(0, 3)):
+            copy = words[:]
+            for _ in range(max(1, len(words) // 100)):
+                copy[rng.randrange(len(copy))] = "edited"
+            if m.similarity(" ".join(words).encode(), " ".join(copy).encode(), 5) >= 0.8:
+                rows.append((10 * g + 1 + c, copy))
+    licence = "this very line of a licence stands in each of the texts and makes none of them alike".split()
+    docs = spark.createDataFrame([(i, " ".join(w + licence)) for i, w in rows], "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in m.keep_one(docs).collect())
+    assert kept == [10 * g for g in range(groups)] and len(rows) > groups + 20
