@@ -17,8 +17,21 @@ LOWER = UPPER.lower()
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Rows that a Python stage over texts takes at a time.
+BATCH_ROWS = 500
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to BATCH_ROWS rows: texts may be very long, and what
+    a batch takes is taken several times over in a worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def lower_az(text: Column) -> Column:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, words_of
+from .common import bounded, save, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS = 128, 47
@@ -201,7 +201,7 @@ def _passes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, item_id, first_word, n_words, similarity): a row for each document row and item that it holds."""
-    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+    texts = bounded(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
     found = [texts.mapInArrow(_search(ItemIndex(block, k), similarity), FOUND) for block in _passes(benchmark, item_id, item_text)]
     out = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
     return out.withColumnRenamed("doc_id", id_col)

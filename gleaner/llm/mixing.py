@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import running_totals, save
+from .common import bounded, running_totals, save
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
@@ -215,4 +215,4 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     texts = docs.withColumn("_tie2", F.xxhash64(text_col)).withColumn("_turn2", F.row_number().over(again))
     rows = texts.join(small.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_tie2") == F.col("_tie")) & (F.col("_turn2") == F.col("_turn")))
     rows = rows.select(*columns, "_size", "_pieces")
-    return rows.mapInArrow(_cut(columns.index(text_col), columns), docs.schema)
+    return bounded(rows).mapInArrow(_cut(columns.index(text_col), columns), docs.schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, words_of
+from .common import bounded, save, words_of
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -83,7 +83,7 @@ def _fingerprints(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, also: Sequence[str] = ()) -> DataFrame:
     """(id, ``also``, fp): the fingerprint of each row; ``also`` are columns of longs to be kept."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *also, F.col(text_col).cast("binary").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), *also, F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(_fingerprints(k), ", ".join(f"{c} long" for c in ["id", *also, "fp"]))
 
 
@@ -319,7 +319,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     hash of the text. Components join fingerprints within the radius and texts of similarity ``least``.
     Only where a row repeats in id and text are the kept rows shuffled once more."""
     tag = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).cast("binary").alias("text"))
+    texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).cast("binary").alias("text"))
     rows = save(texts.mapInArrow(_segmented(k), "id long, tag long, fp long, segments array<long>"), "fingerprints")
     links = save(similar_texts(texts, rows, TEXT_SHINGLE, least), "similar")
     named = groups(rows, radius, links)

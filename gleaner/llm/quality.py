@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 SAMPLE = 4096
 RANK, NEIGHBOURS, POWER = 48, 25, 4
 THRESHOLD = 0.7
@@ -167,7 +169,7 @@ def _scorer(space):
 def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, held_out, score, predicted) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     scored = rows.mapInArrow(_scorer(shared), "id long, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -187,4 +189,4 @@ def _keeper(space, text_at: int, threshold: float):
 def keep_good(docs: DataFrame, space: Space, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
-    return docs.mapInArrow(_keeper(shared, docs.columns.index(text_col), threshold), docs.schema)
+    return bounded(docs).mapInArrow(_keeper(shared, docs.columns.index(text_col), threshold), docs.schema)

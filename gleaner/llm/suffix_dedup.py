@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, save
+from .common import bounded, discard, save
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
@@ -448,7 +448,7 @@ def _tag(docs: DataFrame, id_col: str, text_col: str) -> Column:
 def _texts(docs: DataFrame, id_col: str, text_col: str, tag: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), tag.alias("tag"), text.cast("binary").alias("text"))
+    return bounded(docs).select(F.col(id_col).alias("id"), doc.alias("doc"), tag.alias("tag"), text.cast("binary").alias("text"))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

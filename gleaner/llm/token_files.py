@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import bounded
+
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
 SEGMENT_TOKENS = 1 << 20
 #: Every so many documents the place of its one bit is kept.
@@ -224,7 +226,7 @@ def _writer(vocabulary: str, end_id: int, segment_tokens: int):
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes every whole text, appends the end id and writes the segments to ``path``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     ranged = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     ranged.mapInArrow(_writer(vocabulary, end_id, segment_tokens), SEGMENT_SCHEMA).write.option("compression", "zstd").parquet(path)
 
