@@ -41,10 +41,10 @@ SAMPLE, SHARD = 1 << 15, 8192
 #: A shard is cut beyond this many times SHARD, or beyond 1 / MAX_CUT of all fingerprints.
 CUT_FACTOR, MAX_CUT = 4, 10_000
 TILE = 1 << 18
-#: Where a group keeps one text: shingles and similarity that decide, shingles a segment, and up to
-#: how many places of texts are broadcast; orders of fingerprints, and segments of a short text.
-TEXT_SHINGLE, SIMILARITY, SEGMENT, BROADCAST_PLACES = 5, 0.8, 8, 500_000
-ORDERS, SHORT = 8, 24
+#: Where a group keeps one text: shingles and similarity that decide, and up to how many places of
+#: texts are broadcast; orders of texts, and pairs across components for each text of a common token.
+TEXT_SHINGLE, SIMILARITY, BROADCAST_PLACES = 5, 0.8, 500_000
+ORDERS, HOT = 8, 64
 
 
 def shingle_hashes(text: bytes | None, k: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -221,11 +221,12 @@ def link_forest(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.groupBy("shard", "part").applyInPandas(_forest(radius), "a long, b long")
 
 
-def groups(rows: DataFrame, radius: int = RADIUS, links: DataFrame | None = None) -> DataFrame:
+def groups(rows: DataFrame, radius: int = RADIUS, links: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """(fp, component_id, head) of each distinct fingerprint of ``rows`` (id, fp): the least id of its
-    component, and one fingerprint that stands for the component. ``links`` (a, b) join more of them."""
+    component, and one fingerprint that stands for the component. ``links`` (a, b) join more of them;
+    ``near`` are the links within the radius where they are known."""
     unique = save(rows.groupBy("fp").agg(F.min("id").alias("least")), "unique")
-    edges = link_forest(unique, radius)
+    edges = link_forest(unique, radius) if near is None else near
     roots = save(components(save(edges if links is None else edges.unionByName(links), "links")), "roots")
     linked = unique.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -243,26 +244,43 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # --- Texts that are alike beyond the radius --------------------------------------------------
 
-def segments(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each stretch of shingles between cuts, which only the shingles themselves decide."""
-    cuts = np.flatnonzero(hashes % np.uint64(SEGMENT) == 0)
-    starts = np.unique(np.r_[0, cuts])
-    if not len(hashes):
-        return hashes
+def least_overlap(n: int, least: float) -> int:
+    """How many of ``n`` shingles a text shares at least with one of similarity ``least``."""
+    return int(np.ceil(least * n - 1e-9))
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """Sorted tokens of shingles: the second and later times of a shingle are tokens of their own."""
+    h = np.sort(hashes)
+    if not len(h):
+        return h.view(np.int64)
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    again = (np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))).astype(np.uint64)
     with np.errstate(over="ignore"):
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return np.unique(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts))
+        return np.sort((h + again * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
 
 
-def _segmented(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _prefixed(k: int, text_k: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, own = [], []
+            fp, sizes, own = [], [], []
             for t in batch.column("text"):
-                h = shingle_hashes(t.as_py(), k)
-                fp.append(fingerprint(h))
-                own.append(segments(h).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(own, pa.list_(pa.int64()))], ["id", "tag", "fp", "segments"])
+                text = t.as_py()
+                fp.append(fingerprint(shingle_hashes(text, k)))
+                tokens = numbered(shingle_hashes(text, text_k))
+                sizes.append(len(tokens))
+                own.append(tokens[:len(tokens) - least_overlap(len(tokens), least) + 1])
+            columns = [batch.column("id"), batch.column("tag"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "fp", "n", "prefix"])
+
+    return run
+
+
+def _tokens(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [numbered(shingle_hashes(t.as_py(), k)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(own, pa.list_(pa.int64()))], ["tag", "tokens"])
 
     return run
 
@@ -283,35 +301,81 @@ def _alike(k: int, least: float):
     return run
 
 
-def similar_texts(texts: DataFrame, rows: DataFrame, k: int = TEXT_SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between fingerprints of ``rows`` (id, tag, fp, segments) whose ``texts`` (id, tag,
-    text) have a similarity of ``least`` or more.
+def _bodies(texts: DataFrame, one: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(tag, text) of the ``wanted`` tags."""
+    places = save(one.select(F.col("id").alias("_id"), F.col("tag").alias("_tag")).join(wanted, F.col("_tag") == F.col("tag"), "left_semi"), "places")
+    side = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places.hint("merge")
+    return texts.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("tag", "text").dropDuplicates(["tag"])
+
+
+def _compared(texts: DataFrame, one: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """Links (a, b) between fingerprints of those ``pairs`` (a, b) of tags whose texts are alike."""
+    wanted = pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
+    found = save(_bodies(texts, one, wanted).join(one.select("tag", "fp").hint("merge"), "tag"), "near_bodies")
+    side = {x: found.select(F.col("tag").alias(x), F.col("fp").alias(f"f{x}"), F.col("text").alias(f"t{x}")).hint("merge") for x in "ab"}
+    told = pairs.join(side["a"], "a").join(side["b"], "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"), "ta", "tb")
+    return save(told.mapInArrow(_alike(k, least), "a long, b long"), "similar")
+
 
-    Texts that are alike share most of their segments. Segments have one of ORDERS colours; each
-    leads its texts to the first and the last of them in its colour's order of fingerprints, so a
-    segment of very many texts makes two pairs a text, and texts of a group meet through several of
-    them. Pairs that meet twice in a colour, or of which both are short, are compared by their whole
-    texts. Texts that are alike only to a third one in the middle are joined through it.
+def _of_two(has: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, tag, at, n, comp, hot): ``has`` with components, of tokens that stand in several of them.
+    ``hot`` says that a token's pairs across components outnumber its texts HOT times."""
+    told = save(has.join(roots, "tag"), "told")
+    counts = told.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    mixed = counts.where("comps > 1").select("token", (F.col("c") * F.col("c") - F.col("own") > 2 * HOT * F.col("c")).alias("hot"))
+    return save(told.join(mixed, "token"), "mixed")
+
+
+def similar_texts(texts: DataFrame, rows: DataFrame, links: DataFrame, k: int = TEXT_SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between fingerprints of ``rows`` (id, tag, fp, n, prefix) that, with ``links``, connect
+    all whose ``texts`` (id, tag, text) have a similarity of ``least`` or more.
+
+    Two such texts share a token among the first n - least * n + 1 of each in any one order of all
+    tokens (prefix filtering). First each token leads its texts to the first and the last of them in
+    the order of its colour, of ORDERS, which joins most groups at two pairs a text. Then all pairs that
+    share a token and are in different components still are compared, so none is lost. Tokens with very
+    many such pairs go last in the order, and the texts that have one among their first get new first
+    tokens. Numbers of tokens, and how many follow the shared one, exclude most pairs beforehand.
     """
-    one = save(rows.where(F.size("segments") > 0).groupBy("fp").agg(F.min_by(F.struct("id", "tag", "segments"), F.struct("id", "tag")).alias("r")).select("fp", "r.*"), "one")
-    sizes = one.select("fp", F.size("segments").alias("n"))
-    has = one.select("fp", F.explode("segments").alias("segment")).withColumn("colour", F.pmod("segment", F.lit(ORDERS)).cast("int"))
-    order = F.xxhash64("fp", "colour")
-    ends = has.groupBy("segment").agg(F.min_by("fp", order).alias("first"), F.max_by("fp", order).alias("last")).where("first <> last")
-    met = has.join(ends, "segment").select("fp", "colour", F.explode(F.array_distinct(F.array("first", "last"))).alias("end")).where("fp <> end")
-    pairs = met.groupBy(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b"), "colour").agg(F.count(F.lit(1)).alias("met"))
-    pairs = pairs.groupBy("a", "b").agg(F.max("met").alias("met"))
-    pairs = pairs.join(sizes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-    # The numbers of segments of texts that are alike differ by their likeness at most, and some for the cuts.
-    close = F.greatest("na", "nb") * least <= F.least("na", "nb") * 1.3 + 2
-    pairs = save(pairs.where(close & ((F.col("met") >= 2) | (F.greatest("na", "nb") <= SHORT))).select("a", "b"), "near_texts")
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    places = save(one.select("fp", F.col("id").alias("_id"), F.col("tag").alias("_tag")).join(wanted, "fp", "left_semi"), "places")
-    side = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places.hint("merge")
-    found = texts.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("fp", F.col("text").cast("binary").alias("text")).dropDuplicates(["fp"])
-    found = save(found, "near_bodies")
-    told = pairs.join(found.select(F.col("fp").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(found.select(F.col("fp").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    return told.mapInArrow(_alike(k, least), "a long, b long")
+    one = save(rows.where("n > 0").groupBy("tag").agg(F.min_by(F.struct("id", "fp", "n", "prefix"), F.struct("id")).alias("r")).select("tag", "r.*"), "one")
+    has = one.select("tag", "n", F.posexplode("prefix").alias("at", "token"))
+    dealt = has.repartition("token").withColumn("colour", F.pmod("token", F.lit(ORDERS)).cast("int"))
+    order = F.xxhash64("tag", "colour")
+    ends = dealt.groupBy("token").agg(F.min_by("tag", order).alias("first"), F.max_by("tag", order).alias("last")).where("first <> last")
+    shared = save(dealt.join(ends.hint("merge"), "token"), "shared")
+    met = shared.select("tag", "n", "colour", F.explode(F.array_distinct(F.array("first", "last"))).alias("end")).where("tag <> end")
+    pairs = met.groupBy(F.least("tag", "end").alias("a"), F.greatest("tag", "end").alias("b"), "colour").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
+    # A pair that is alike and meets in a colour does so in most of its prefix; others wait for the second step.
+    likely = pairs.where(F.col("met") >= F.col("n") * ((1 - least) / ORDERS / 2)).select("a", "b").distinct()
+    found = _compared(texts, one, save(likely, "near_texts"), k, least)
+
+    known = save(components(save(links.unionByName(found), "links")), "roots")
+    roots = save(one.select("tag", "fp").join(known, F.col("fp") == F.col("node"), "left").select("tag", F.coalesce("root", "fp").alias("comp")), "comps")
+    mixed = _of_two(shared.select("token", "tag", "at", "n"), roots)
+    if mixed.where("hot").limit(1).count():
+        mixed = _later(texts, one, has, mixed, roots, k, least)
+    side = {x: mixed.select("token", F.col("tag").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("at")).alias(f"left{x}")).hint("merge") for x in "ab"}
+    most = F.least("lefta", "leftb") * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6
+    pairs = side["a"].join(side["b"], "token").where((F.col("ca") < F.col("cb")) & most).select("a", "b").distinct()
+    return found.unionByName(_compared(texts, one, save(pairs, "near_texts"), k, least))
+
+
+def _later(texts: DataFrame, one: DataFrame, has: DataFrame, mixed: DataFrame, roots: DataFrame, k: int, least: float) -> DataFrame:
+    """``mixed`` for the order of tokens in which common ones go last."""
+    tokens = lambda tags: _bodies(texts, one, tags).mapInArrow(_tokens(k), "tag long, tokens array<long>").select("tag", F.explode("tokens").alias("token"))
+    first = save(mixed.where("hot").select("tag").distinct(), "hot_texts")
+    common = tokens(first).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("token")
+    common = save(common.unionByName(mixed.where("hot").select("token")).distinct(), "common")
+    moved = save(has.join(common, "token", "left_semi").select("tag").distinct(), "moved")
+    ranked = tokens(moved).join(common.withColumn("common", F.lit(True)), "token", "left")
+    own = ranked.groupBy("tag").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("common", F.lit(False)).alias("late"), "token"))).alias("own"))
+    n = F.size("own")
+    own = own.select("tag", n.alias("n"), F.posexplode(F.slice("own", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("at", "t"))
+    fresh = save(own.select(F.col("t.token").alias("token"), "tag", "at", "n"), "fresh")
+    stay = has.select("token", "tag", "at", "n").join(moved, "tag", "left_anti")
+    met = stay.join(fresh.select("token").distinct(), "token", "left_semi")
+    rest = mixed.select("token", "tag", "at", "n").join(moved, "tag", "left_anti")
+    return _of_two(fresh.unionByName(met).unionByName(rest).distinct(), roots)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
@@ -320,9 +384,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Only where a row repeats in id and text are the kept rows shuffled once more."""
     tag = F.xxhash64(F.coalesce(text_col, F.lit("")))
     texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).cast("binary").alias("text"))
-    rows = save(texts.mapInArrow(_segmented(k), "id long, tag long, fp long, segments array<long>"), "fingerprints")
-    links = save(similar_texts(texts, rows, TEXT_SHINGLE, least), "similar")
-    named = groups(rows, radius, links)
+    rows = save(texts.mapInArrow(_prefixed(k, TEXT_SHINGLE, least), "id long, tag long, fp long, n int, prefix array<long>"), "fingerprints")
+    near = save(link_forest(rows.select("fp").distinct(), radius), "near")
+    named = groups(rows, radius, similar_texts(texts, rows, near, TEXT_SHINGLE, least), near)
     kept = rows.select("id", "tag", "fp").join(named, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
     kept = save(kept.groupBy("head").agg(F.min_by(F.struct("id", "tag"), "tag").alias("_at")).select(F.col("_at.id").alias("_id"), F.col("_at.tag").alias("_tag")), "kept")
     at = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (tag == F.col("_tag"))

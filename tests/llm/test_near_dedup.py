@@ -97,3 +97,50 @@ def test_edited_copies_go_and_others_stay(spark):
     docs = spark.createDataFrame([(i, " ".join(w + licence)) for i, w in rows], "doc_id long, text string").repartition(4)
     kept = sorted(r.doc_id for r in m.keep_one(docs).collect())
     assert kept == [10 * g for g in range(groups)] and len(rows) > groups + 20
+
+
+def test_copies_that_are_alike_only_to_the_original_go(spark):
+    """Prefix filtering against stars: copies are 0.8 or more to the original, and less to each other."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for star, (size, copies) in enumerate([(500, 300), (200, 100)]):
+        words = rng.choices(vocabulary, k=size)
+        rows.append((10_000 * star, " ".join(words)))
+        while sum(i // 10_000 == star for i, _ in rows) <= copies:
+            copy = words[:]
+            for i in rng.sample(range(size), round(size * 0.019)):
+                copy[i] = f"x{rng.randrange(10**9)}"
+            if m.similarity(" ".join(words).encode(), " ".join(copy).encode(), 5) >= 0.8:
+                rows.append((10_000 * star + len(rows) + 1, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in m.keep_one(docs).collect()) == [0, 10_000]
+
+
+def test_pairs_that_share_common_shingles_are_complete(spark, monkeypatch):
+    """Texts that share a long passage, whose shingles are too common to lead pairs, against brute force."""
+    monkeypatch.setattr(m, "HOT", 4)
+    rng = random.Random(23)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for g in range(40):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([20, 60, 150]))]
+        texts.append(" ".join(own + passage))
+        for _ in range(rng.randint(0, 2)):
+            texts.append(" ".join([f"y{rng.randrange(10**9)}" if rng.random() < 0.03 else w for w in own] + passage))
+    bodies = [t.encode() for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    fps = [_fingerprint(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or m.similarity(bodies[i], bodies[j], 5) >= 0.8:
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in m.keep_one(docs).collect()) == sorted({root(i) for i in range(len(texts))})
