@@ -117,6 +117,17 @@ def test_copies_that_are_alike_only_to_the_original_go(spark):
     assert sorted(r.doc_id for r in m.keep_one(docs).collect()) == [0, 10_000]
 
 
+def test_short_copies_go(spark):
+    rng = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(200):
+        words = rng.choices(vocabulary, k=rng.choice([10, 14, 20, 28]))
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join([*words, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in m.keep_one(docs).collect()) == [10 * g for g in range(200)]
+
+
 def test_pairs_that_share_common_shingles_are_complete(spark, monkeypatch):
     """Texts that share a long passage, whose shingles are too common to lead pairs, against brute force."""
     monkeypatch.setattr(m, "HOT", 4)
