@@ -458,7 +458,7 @@ def page_extract(spark, d):
 
 @query()
 def repeated_selectors(spark, d):
-    return html.repeated_selectors(spark.createDataFrame([(1, _PAGE)], "page_id long, html string"))
+    return html.repeated_selectors(table(spark, d, "pages"))
 
 
 @query()

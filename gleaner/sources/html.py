@@ -25,6 +25,7 @@ STATE_MARKS = re.compile(r"(?:window\.)?(?:__NEXT_DATA__|__NUXT__|__INITIAL_STAT
 SCHEMA_TYPES = ("RealEstateListing", "Residence", "Apartment", "House", "SingleFamilyResidence", "Product", "Offer", "Place")
 ORGANISATIONS = {"Organization", "LocalBusiness", "RealEstateAgent"}
 PRICE = re.compile(r"[£$€]\s?[\d,]+(?:\.\d{2})?|\d{1,3}(?:,\d{3})+(?:\s?(?:pcm|pw|pa|pm))?", re.I)
+MARKED_PRICE = re.compile(r"[£$€]\s?[\d,]+")
 BEDS, BATHS = re.compile(r"(\d+)\s*(?:bed(?:room)?s?|br)\b", re.I), re.compile(r"(\d+)\s*(?:bath(?:room)?s?)\b", re.I)
 POSTCODE = re.compile(r"\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b")
 STREET = re.compile(r"\b(?:street|road|avenue|lane|drive|close|way|court|place)\b", re.I)
@@ -55,6 +56,18 @@ class _Node:
                 stack.extend(reversed(x.children))
         return " ".join(" ".join(out).split())
 
+    def raw_text(self, most: int = 400) -> str:
+        """The text as it stands, scripts and styles too, up to where it has ``most`` characters."""
+        out, size, stack = [], 0, [self]
+        while stack and size < most:
+            x = stack.pop()
+            if isinstance(x, str):
+                out.append(x)
+                size += len(x)
+            else:
+                stack.extend(reversed(x.children))
+        return "".join(out)
+
 
 class _Tree(HTMLParser):
     def __init__(self):
@@ -287,13 +300,18 @@ def first_strategy(found: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def repeated_selectors(pages: DataFrame, key: str = "page_id", html: str = "html", top: int = 10) -> DataFrame:
-    """Tags with classes whose elements hold a price, by number, the ``top`` of each page."""
+    """Tags with their classes, which may be none, whose elements hold a price in a text of under 400
+    characters, by number, the ``top`` of each page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for k, h in zip(rows["k"], rows["h"]):
-                c = Counter(f"{n.tag}.{n.attrs['class']}" for n in parse(h).walk() if n.attrs.get("class") and PRICE.search(n.text()[:5000]))
+                c = Counter()
+                for n in parse(h).walk():
+                    text = n.raw_text() if n.parent is not None else ""
+                    if len(text) < 400 and MARKED_PRICE.search(text):
+                        c[f"{n.tag}.{n.attrs.get('class') or ''}"] += 1
                 out += [(k, s, n) for s, n in c.most_common(top)]
             yield pd.DataFrame(out, columns=["k", "selector", "n"])
 

@@ -165,3 +165,10 @@ def test_even_sample(spark):
     df = spark.range(100).repartition(7)
     assert sorted(r.id for r in recipes.even_sample(df, ["id"]).collect()) == [0, 14, 28, 42, 57, 71, 85, 99]
     assert recipes.even_sample(df.limit(3), ["id"]).count() == 3
+
+
+def test_repeated_selectors_take_short_texts_and_no_class(spark):
+    card = "<div><p class='c'>£1,000</p></div>"
+    page = "<html><body class='all'>" + "<i>word </i>" * 2000 + card * 3 + "<p class='c'>1,000 pcm</p></body></html>"
+    got = html.repeated_selectors(spark.createDataFrame([(1, page), (2, "")], "page_id long, html string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "div.", 3), (1, "p.c", 3)]
