@@ -56,10 +56,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/gleaner/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes a work table and reads it back: cuts the lineage, and survives lost executors."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +74,32 @@ def discard(df: DataFrame) -> None:
     session.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores added until none is a column of ``df``, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits and bits a row of the filter that ``perhaps_in`` broadcasts: 8 MB, whatever the size of the tables.
+FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
+
+
+def perhaps_in(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in the only column of ``wanted``: all that are, and a few
+    that are not. A bitmap of hashes, of fixed size, spares the others a shuffle; a semi join follows."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    told = wanted.select(place(wanted.columns[0]).alias("at"))
+    bitmaps = told.groupBy(F.expr(f"at div {FILTER_ROW}").alias("_row")).agg(F.bitmap_construct_agg(F.expr(f"at % {FILTER_ROW}")).alias("_bits"))
+    bit = F.expr(f"shiftright(cast(conv(hex(substring(_bits, cast(_at % {FILTER_ROW} div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) & 1")
+    rows = df.withColumn("_at", place(column)).withColumn("_row", F.expr(f"_at div {FILTER_ROW}"))
+    return rows.join(F.broadcast(bitmaps), "_row").where(bit == 1).select(*df.columns)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased words ``[^\\x20\\x09-\\x0D]+``; bytes.split() splits on exactly those bytes."""
     return text.translate(LOWER_BYTES).split() if text else []
