@@ -25,15 +25,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import bounded, save, words_of
+from .common import bounded, discard, perhaps_in, save, words_of
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -41,10 +45,9 @@ SAMPLE, SHARD = 1 << 15, 8192
 #: A shard is cut beyond this many times SHARD, or beyond 1 / MAX_CUT of all fingerprints.
 CUT_FACTOR, MAX_CUT = 4, 10_000
 TILE = 1 << 18
-#: Where a group keeps one text: shingles and similarity that decide, and up to how many places of
-#: texts are broadcast; orders of texts, and pairs across components for each text of a common token.
-TEXT_SHINGLE, SIMILARITY, BROADCAST_PLACES = 5, 0.8, 500_000
-ORDERS, HOT = 8, 64
+#: Where a group keeps one text: shingles and similarity that decide; tokens of a bucket, and of a flush.
+TEXT_SHINGLE, SIMILARITY = 5, 0.8
+TOKENS_PER_BUCKET, FLUSH_TOKENS = 1 << 19, 1 << 20
 
 
 def shingle_hashes(text: bytes | None, k: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -243,12 +246,32 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 # --- Texts that are alike beyond the radius --------------------------------------------------
+#
+# Two texts of similarity ``least`` share least * n shingles or more of the longer one's n. In any one
+# order of all shingles they then share spare(n) among their first prefix(n) or more, n being the
+# number of the one whose first ones end earlier. So of the shingles that stand among the first of two
+# texts at least, the dropped(n) most frequent ones of each text may be left out: texts that are alike
+# still share one of the others. Passages that many texts hold go that way.
 
 def least_overlap(n: int, least: float) -> int:
     """How many of ``n`` shingles a text shares at least with one of similarity ``least``."""
     return int(np.ceil(least * n - 1e-9))
 
 
+def prefix(n: int, least: float) -> int:
+    """How many first shingles of a text are looked at: spare(n) more than one shared one needs."""
+    return n - least_overlap(n, least) + int(n * (1 - least) / 2 + 1e-9) + 1 if n else 0
+
+
+def _prefix(n, least: float):
+    return n - F.ceil(least * n - 1e-9) + F.floor(n * ((1 - least) / 2) + 1e-9) + 1
+
+
+def _dropped(n, least: float):
+    """spare(n) - 1 of the shortest text that is alike to one of ``n`` shingles."""
+    return F.greatest(F.floor(n * ((1 - least) / 2 * least) - 1e-6), F.lit(0))
+
+
 def numbered(hashes: np.ndarray) -> np.ndarray:
     """Sorted tokens of shingles: the second and later times of a shingle are tokens of their own."""
     h = np.sort(hashes)
@@ -260,31 +283,112 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
         return np.sort((h + again * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
 
 
-def _prefixed(k: int, text_k: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sized(k: int, text_k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, sizes, own = [], [], []
+            fp, sizes = [], []
             for t in batch.column("text"):
                 text = t.as_py()
                 fp.append(fingerprint(shingle_hashes(text, k)))
-                tokens = numbered(shingle_hashes(text, text_k))
-                sizes.append(len(tokens))
-                own.append(tokens[:len(tokens) - least_overlap(len(tokens), least) + 1])
-            columns = [batch.column("id"), batch.column("tag"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "fp", "n", "prefix"])
+                n = len(words_of(text))
+                sizes.append(max(1, n - text_k + 1) if n else 0)
+            columns = [batch.column("id"), batch.column("tag"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "fp", "n"])
 
     return run
 
 
-def _tokens(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(x: np.ndarray) -> bytes:
+    """The lower six bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1).astype(np.int64)
+
+
+DEALT = "bucket long, salt long, tokens binary, tags binary, counts binary, single binary"
+
+
+def _deal(n_buckets: int, k: int, least: float):
+    """First tokens of texts, of 48 bits, packed by bucket. What a flush of a task holds several times goes
+    to bucket -1 in a group of its own; a bucket gets each token once from a flush. So a token that very many texts
+    have comes to its bucket as often as there are flushes."""
+
+    def rows_of(salt: int, tokens: list[np.ndarray], tags: list[int]) -> Iterator[pa.RecordBatch]:
+        token = np.concatenate(tokens)
+        owner = np.repeat(np.arange(len(tags)), [len(t) for t in tokens])
+        order = np.argsort(token, kind="stable")
+        token, owner, tag = token[order], owner[order], np.array(tags, np.int64)
+        first = np.r_[True, token[1:] != token[:-1]]
+        number = np.diff(np.r_[np.flatnonzero(first), len(token)])
+        several = np.repeat(number > 1, number)
+        asked, asker, single = token[first], owner[first], (number == 1).astype(np.uint8)
+
+        def packed(bucket: int, salt: int, token: np.ndarray, owner: np.ndarray, single: np.ndarray):
+            # By owner, so that an owner is told once with the number of its tokens.
+            order = np.argsort(owner, kind="stable")
+            own, counts = np.unique(owner, return_counts=True)
+            return bucket, salt, _pack(token[order]), tag[own].tobytes(), counts.astype(np.int32).tobytes(), np.packbits(single[order]).tobytes()
+
+        out = [packed(-1, salt, token[several], owner[several], several[several])] if several.any() else []
+        bucket = asked % n_buckets
+        by_bucket = np.argsort(bucket, kind="stable")
+        for rows in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
+            out.append(packed(int(bucket[rows[0]]), 0, asked[rows], asker[rows], single[rows]))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        for a in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a:a + 256]), kinds)], [c.split()[0] for c in DEALT.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, flushes = TaskContext.get().partitionId(), 0
+        tokens: list[np.ndarray] = []
+        tags: list[int] = []
+        seen: set[int] = set()
+        size = 0
         for batch in batches:
-            own = [numbered(shingle_hashes(t.as_py(), k)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("tag"), pa.array(own, pa.list_(pa.int64()))], ["tag", "tokens"])
+            for tag, t in zip(batch.column("tag").to_pylist(), batch.column("text")):
+                if tag in seen:
+                    continue
+                own = numbered(shingle_hashes(t.as_py(), k))
+                own = own[:prefix(len(own), least)]
+                if len(own):
+                    # The upper 48 bits, in the same order.
+                    tokens.append(np.unique((own.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(16)).astype(np.int64))
+                    tags.append(tag)
+                    seen.add(tag)
+                    size += len(own)
+                if size >= FLUSH_TOKENS:
+                    yield from rows_of(part << 24 | flushes, tokens, tags)
+                    tokens, tags, seen, size, flushes = [], [], set(), 0, flushes + 1
+        if tags:
+            yield from rows_of(part << 24 | flushes, tokens, tags)
 
     return run
 
 
+def _shared(rows: pd.DataFrame) -> pd.DataFrame:
+    """(token, tag) of a bucket's tokens that several texts have, as far as no flush has told them."""
+    tokens, tags, single = [], [], []
+    for r in rows.itertuples():
+        tokens.append(_unpack(r.tokens))
+        tags.append(np.repeat(np.frombuffer(r.tags, np.int64), np.frombuffer(r.counts, np.int32)))
+        single.append(np.unpackbits(np.frombuffer(r.single, np.uint8), count=len(tokens[-1])))
+    token, tag, single = map(np.concatenate, (tokens, tags, single))
+    if rows["bucket"].iloc[0] < 0:
+        return pd.DataFrame({"token": token, "tag": tag})
+    order = np.lexsort((single, tag, token))
+    token, tag, single = token[order], tag[order], single[order]
+    new = np.r_[True, (token[1:] != token[:-1]) | (tag[1:] != tag[:-1])]
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    texts = np.add.reduceat(new.astype(np.int64), start)
+    repeats = np.minimum.reduceat(single, start) == 0
+    keep = new & (single == 1) & np.repeat((texts > 1) | repeats, np.diff(np.r_[start, len(token)]))
+    return pd.DataFrame({"token": token[keep], "tag": tag[keep]})
+
+
 def similarity(a: bytes, b: bytes, k: int) -> float:
     """Weighted similarity of two texts' k-word shingles."""
     x, y = (Counter(shingle_hashes(t, k).tolist()) for t in (a, b))
@@ -292,90 +396,88 @@ def similarity(a: bytes, b: bytes, k: int) -> float:
     return both / max(1, x.total() + y.total() - both)
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column("text"))
+        packed = [codec.compress(t.as_buffer(), asbytes=True) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("tag"), sizes.cast(pa.int64()), pa.array(packed, pa.binary())], ["tag", "size", "packed"])
+
+
 def _alike(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}
+
+        def tokens(packed: bytes, size: int) -> np.ndarray:
+            # A text that many are compared with is hashed once.
+            if packed not in known:
+                if len(known) > 256:
+                    known.clear()
+                known[packed] = numbered(shingle_hashes(pa.decompress(packed, size, codec="zstd", asbytes=True), k))
+            return known[packed]
+
         for batch in batches:
-            ok = [similarity(x.as_py(), y.as_py(), k) >= least for x, y in zip(batch.column("ta"), batch.column("tb"))]
+            ok = []
+            for pa_, na, pb, nb in zip(*(batch.column(c).to_pylist() for c in ("pa", "na", "pb", "nb"))):
+                x, y = tokens(pa_, na), tokens(pb, nb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _bodies(texts: DataFrame, one: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(tag, text) of the ``wanted`` tags."""
-    places = save(one.select(F.col("id").alias("_id"), F.col("tag").alias("_tag")).join(wanted, F.col("_tag") == F.col("tag"), "left_semi"), "places")
-    side = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places.hint("merge")
-    return texts.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("tag", "text").dropDuplicates(["tag"])
-
-
 def _compared(texts: DataFrame, one: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
     """Links (a, b) between fingerprints of those ``pairs`` (a, b) of tags whose texts are alike."""
+    pairs = save(pairs, "near_texts")
     wanted = pairs.select(F.col("a").alias("tag")).unionByName(pairs.select(F.col("b").alias("tag"))).distinct()
-    found = save(_bodies(texts, one, wanted).join(one.select("tag", "fp").hint("merge"), "tag"), "near_bodies")
-    side = {x: found.select(F.col("tag").alias(x), F.col("fp").alias(f"f{x}"), F.col("text").alias(f"t{x}")).hint("merge") for x in "ab"}
-    told = pairs.join(side["a"], "a").join(side["b"], "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"), "ta", "tb")
-    return save(told.mapInArrow(_alike(k, least), "a long, b long"), "similar")
-
-
-def _of_two(has: DataFrame, roots: DataFrame) -> DataFrame:
-    """(token, tag, at, n, comp, hot): ``has`` with components, of tokens that stand in several of them.
-    ``hot`` says that a token's pairs across components outnumber its texts HOT times."""
-    told = save(has.join(roots, "tag"), "told")
-    counts = told.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
-    mixed = counts.where("comps > 1").select("token", (F.col("c") * F.col("c") - F.col("own") > 2 * HOT * F.col("c")).alias("hot"))
-    return save(told.join(mixed, "token"), "mixed")
+    packed = perhaps_in(texts.select("tag", "text"), "tag", wanted).mapInArrow(_squeeze, "tag long, size long, packed binary").dropDuplicates(["tag"])
+    bodies = save(packed.join(one.select("tag", "fp").hint("merge"), "tag"), "near_bodies")
+    side = {x: bodies.select(F.col("tag").alias(x), F.col("fp").alias(f"f{x}"), F.col("size").alias(f"n{x}"), F.col("packed").alias(f"p{x}")).hint("merge") for x in "ab"}
+    told = pairs.join(side["a"], "a").join(side["b"], "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"), "pa", "na", "pb", "nb")
+    found = save(told.mapInArrow(_alike(k, least), "a long, b long"), "similar")
+    discard(bodies)
+    return found
 
 
 def similar_texts(texts: DataFrame, rows: DataFrame, links: DataFrame, k: int = TEXT_SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between fingerprints of ``rows`` (id, tag, fp, n, prefix) that, with ``links``, connect
+    """Links (a, b) between fingerprints of ``rows`` (id, tag, fp, n) that, with ``links``, connect
     all whose ``texts`` (id, tag, text) have a similarity of ``least`` or more.
 
-    Two such texts share a token among the first n - least * n + 1 of each in any one order of all
-    tokens (prefix filtering). First each token leads its texts to the first and the last of them in
-    the order of its colour, of ORDERS, which joins most groups at two pairs a text. Then all pairs that
-    share a token and are in different components still are compared, so none is lost. Tokens with very
-    many such pairs go last in the order, and the texts that have one among their first get new first
-    tokens. Numbers of tokens, and how many follow the shared one, exclude most pairs beforehand.
+    Each token names the one of its texts whose tokens are the most frequent, as those of an original
+    are among its edited copies; a text is compared with the one that most of its tokens name. Then all
+    pairs that share a token and are in different components still, and share as many tokens as they must,
+    are compared, so none is lost.
     """
-    one = save(rows.where("n > 0").groupBy("tag").agg(F.min_by(F.struct("id", "fp", "n", "prefix"), F.struct("id")).alias("r")).select("tag", "r.*"), "one")
-    has = one.select("tag", "n", F.posexplode("prefix").alias("at", "token"))
-    dealt = has.repartition("token").withColumn("colour", F.pmod("token", F.lit(ORDERS)).cast("int"))
-    order = F.xxhash64("tag", "colour")
-    ends = dealt.groupBy("token").agg(F.min_by("tag", order).alias("first"), F.max_by("tag", order).alias("last")).where("first <> last")
-    shared = save(dealt.join(ends.hint("merge"), "token"), "shared")
-    met = shared.select("tag", "n", "colour", F.explode(F.array_distinct(F.array("first", "last"))).alias("end")).where("tag <> end")
-    pairs = met.groupBy(F.least("tag", "end").alias("a"), F.greatest("tag", "end").alias("b"), "colour").agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
-    # A pair that is alike and meets in a colour does so in most of its prefix; others wait for the second step.
-    likely = pairs.where(F.col("met") >= F.col("n") * ((1 - least) / ORDERS / 2)).select("a", "b").distinct()
-    found = _compared(texts, one, save(likely, "near_texts"), k, least)
+    one = save(rows.where("n > 0").groupBy("tag").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), "one")
+    buckets = max(1, ceil((one.agg(F.sum("n")).first()[0] or 0) * 1.5 * (1 - least) / TOKENS_PER_BUCKET))
+    dealt = texts.select("tag", "text").mapInArrow(_deal(buckets, k, least), DEALT)
+    found = dealt.groupBy("bucket", "salt").applyInPandas(_shared, "token long, tag long")
+    has = save(found.distinct(), "shared_tokens")
+    df = has.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    has = save(has.join(df, "token").join(one.select("tag", "n"), "tag"), "counted_tokens")
+    place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("df"), "token"))
+    centre = F.sum("df").over(Window.partitionBy("tag")) / F.col("n")
+    kept = save(has.select("token", "tag", "n", place.alias("at"), centre.alias("centre")).where(F.col("at") > _dropped(F.col("n"), least)).drop("at"), "first_tokens")
+    discard(has)
+
+    named = kept.groupBy("token").agg(F.max_by("tag", F.struct("centre", "tag")).alias("head"))
+    votes = kept.join(named.hint("merge"), "token").where("tag <> head").groupBy("tag", "head").agg(F.count(F.lit(1)).alias("m"))
+    best = votes.groupBy("tag").agg(F.max_by("head", F.struct("m", "head")).alias("head"))
+    found = _compared(texts, one, best.select(F.least("tag", "head").alias("a"), F.greatest("tag", "head").alias("b")).distinct(), k, least)
 
     known = save(components(save(links.unionByName(found), "links")), "roots")
-    roots = save(one.select("tag", "fp").join(known, F.col("fp") == F.col("node"), "left").select("tag", F.coalesce("root", "fp").alias("comp")), "comps")
-    mixed = _of_two(shared.select("token", "tag", "at", "n"), roots)
-    if mixed.where("hot").limit(1).count():
-        mixed = _later(texts, one, has, mixed, roots, k, least)
-    side = {x: mixed.select("token", F.col("tag").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("at")).alias(f"left{x}")).hint("merge") for x in "ab"}
-    most = F.least("lefta", "leftb") * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6
-    pairs = side["a"].join(side["b"], "token").where((F.col("ca") < F.col("cb")) & most).select("a", "b").distinct()
-    return found.unionByName(_compared(texts, one, save(pairs, "near_texts"), k, least))
-
-
-def _later(texts: DataFrame, one: DataFrame, has: DataFrame, mixed: DataFrame, roots: DataFrame, k: int, least: float) -> DataFrame:
-    """``mixed`` for the order of tokens in which common ones go last."""
-    tokens = lambda tags: _bodies(texts, one, tags).mapInArrow(_tokens(k), "tag long, tokens array<long>").select("tag", F.explode("tokens").alias("token"))
-    first = save(mixed.where("hot").select("tag").distinct(), "hot_texts")
-    common = tokens(first).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("token")
-    common = save(common.unionByName(mixed.where("hot").select("token")).distinct(), "common")
-    moved = save(has.join(common, "token", "left_semi").select("tag").distinct(), "moved")
-    ranked = tokens(moved).join(common.withColumn("common", F.lit(True)), "token", "left")
-    own = ranked.groupBy("tag").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("common", F.lit(False)).alias("late"), "token"))).alias("own"))
-    n = F.size("own")
-    own = own.select("tag", n.alias("n"), F.posexplode(F.slice("own", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("at", "t"))
-    fresh = save(own.select(F.col("t.token").alias("token"), "tag", "at", "n"), "fresh")
-    stay = has.select("token", "tag", "at", "n").join(moved, "tag", "left_anti")
-    met = stay.join(fresh.select("token").distinct(), "token", "left_semi")
-    rest = mixed.select("token", "tag", "at", "n").join(moved, "tag", "left_anti")
-    return _of_two(fresh.unionByName(met).unionByName(rest).distinct(), roots)
+    comps = one.select("tag", "fp").join(known, F.col("fp") == F.col("node"), "left").select("tag", F.coalesce("root", "fp").alias("comp"))
+    told = save(kept.join(comps, "tag").select("token", "tag", "n", "comp"), "told")
+    mixed = told.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
+    told = save(told.join(mixed, "token"), "mixed")
+    side = {x: told.select("token", F.col("tag").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")).hint("merge") for x in "ab"}
+    allowed = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
+    met = side["a"].join(side["b"], "token").where((F.col("ca") < F.col("cb")) & allowed).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    na, nb = F.col("na"), F.col("nb")
+    overlap = F.ceil((na + nb) * (least / (1 + least)) - 1e-6)
+    must = overlap - F.greatest(na - _prefix(na, least), nb - _prefix(nb, least)) - F.least(_dropped(na, least), _dropped(nb, least))
+    return found.unionByName(_compared(texts, one, met.where(F.col("m") >= must).select("a", "b"), k, least))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
@@ -384,7 +486,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Only where a row repeats in id and text are the kept rows shuffled once more."""
     tag = F.xxhash64(F.coalesce(text_col, F.lit("")))
     texts = bounded(docs).select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).cast("binary").alias("text"))
-    rows = save(texts.mapInArrow(_prefixed(k, TEXT_SHINGLE, least), "id long, tag long, fp long, n int, prefix array<long>"), "fingerprints")
+    rows = save(texts.mapInArrow(_sized(k, TEXT_SHINGLE), "id long, tag long, fp long, n long"), "fingerprints")
     near = save(link_forest(rows.select("fp").distinct(), radius), "near")
     named = groups(rows, radius, similar_texts(texts, rows, near, TEXT_SHINGLE, least), near)
     kept = rows.select("id", "tag", "fp").join(named, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))

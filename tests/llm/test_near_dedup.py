@@ -130,7 +130,7 @@ def test_short_copies_go(spark):
 
 def test_pairs_that_share_common_shingles_are_complete(spark, monkeypatch):
     """Texts that share a long passage, whose shingles are too common to lead pairs, against brute force."""
-    monkeypatch.setattr(m, "HOT", 4)
+    monkeypatch.setattr(m, "TOKENS_PER_BUCKET", 500)
     rng = random.Random(23)
     passage = [f"p{i}" for i in range(60)]
     texts = []
