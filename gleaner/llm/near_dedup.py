@@ -46,7 +46,8 @@ SAMPLE, SHARD = 1 << 15, 8192
 CUT_FACTOR, MAX_CUT = 4, 10_000
 TILE = 1 << 18
 #: Where a group keeps one text: shingles and similarity that decide; tokens of a bucket, and of a flush.
-TEXT_SHINGLE, SIMILARITY = 5, 0.8
+#: From what ratio on two sizes are close.
+TEXT_SHINGLE, SIMILARITY, CLOSE = 5, 0.8, 0.95
 TOKENS_PER_BUCKET, FLUSH_TOKENS = 1 << 19, 1 << 20
 
 
@@ -247,29 +248,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # --- Texts that are alike beyond the radius --------------------------------------------------
 #
-# Two texts of similarity ``least`` share least * n shingles or more of the longer one's n. In any one
-# order of all shingles they then share spare(n) among their first prefix(n) or more, n being the
-# number of the one whose first ones end earlier. So of the shingles that stand among the first of two
-# texts at least, the dropped(n) most frequent ones of each text may be left out: texts that are alike
-# still share one of the others. Passages that many texts hold go that way.
+# Prefix filtering, the rarest shingles first: two texts of similarity t that have n and m shingles
+# share t / (1 + t) * (n + m) of them. So each may leave out its most frequent ones, but one less than
+# that many: they still share one of the others. The closer the two sizes, the more can be left out.
+# Passages that many texts hold go that way, and texts that are edited too much to be alike to any
+# other have nothing left but shingles of their own, which are dropped before any row is written.
 
-def least_overlap(n: int, least: float) -> int:
-    """How many of ``n`` shingles a text shares at least with one of similarity ``least``."""
-    return int(np.ceil(least * n - 1e-9))
-
-
-def prefix(n: int, least: float) -> int:
-    """How many first shingles of a text are looked at: spare(n) more than one shared one needs."""
-    return n - least_overlap(n, least) + int(n * (1 - least) / 2 + 1e-9) + 1 if n else 0
-
-
-def _prefix(n, least: float):
-    return n - F.ceil(least * n - 1e-9) + F.floor(n * ((1 - least) / 2) + 1e-9) + 1
-
-
-def _dropped(n, least: float):
-    """spare(n) - 1 of the shortest text that is alike to one of ``n`` shingles."""
-    return F.greatest(F.floor(n * ((1 - least) / 2 * least) - 1e-6), F.lit(0))
+def _dropped(n, least: float, ratio: float):
+    """All but one of the shingles that a text of ``n`` shares with any that is alike and whose size is
+    ``ratio`` of its own or more, or the reverse."""
+    return F.greatest(F.ceil(n * (least * (1 + ratio) / (1 + least)) - 1e-6) - 1, F.lit(0))
 
 
 def numbered(hashes: np.ndarray) -> np.ndarray:
@@ -312,8 +300,8 @@ def _unpack(blob: bytes) -> np.ndarray:
 DEALT = "bucket long, salt long, tokens binary, tags binary, counts binary, single binary"
 
 
-def _deal(n_buckets: int, k: int, least: float):
-    """First tokens of texts, of 48 bits, packed by bucket. What a flush of a task holds several times goes
+def _deal(n_buckets: int, k: int):
+    """Tokens of texts, of 48 bits, packed by bucket. What a flush of a task holds several times goes
     to bucket -1 in a group of its own; a bucket gets each token once from a flush. So a token that very many texts
     have comes to its bucket as often as there are flushes."""
 
@@ -353,10 +341,8 @@ def _deal(n_buckets: int, k: int, least: float):
                 if tag in seen:
                     continue
                 own = numbered(shingle_hashes(t.as_py(), k))
-                own = own[:prefix(len(own), least)]
                 if len(own):
-                    # The upper 48 bits, in the same order.
-                    tokens.append(np.unique((own.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(16)).astype(np.int64))
+                    tokens.append(np.unique(own.view(np.uint64) >> np.uint64(16)).astype(np.int64))
                     tags.append(tag)
                     seen.add(tag)
                     size += len(own)
@@ -450,15 +436,16 @@ def similar_texts(texts: DataFrame, rows: DataFrame, links: DataFrame, k: int =
     are compared, so none is lost.
     """
     one = save(rows.where("n > 0").groupBy("tag").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), "one")
-    buckets = max(1, ceil((one.agg(F.sum("n")).first()[0] or 0) * 1.5 * (1 - least) / TOKENS_PER_BUCKET))
-    dealt = texts.select("tag", "text").mapInArrow(_deal(buckets, k, least), DEALT)
+    buckets = max(1, ceil((one.agg(F.sum("n")).first()[0] or 0) / TOKENS_PER_BUCKET))
+    dealt = texts.select("tag", "text").mapInArrow(_deal(buckets, k), DEALT)
     found = dealt.groupBy("bucket", "salt").applyInPandas(_shared, "token long, tag long")
     has = save(found.distinct(), "shared_tokens")
     df = has.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     has = save(has.join(df, "token").join(one.select("tag", "n"), "tag"), "counted_tokens")
     place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("df"), "token"))
     centre = F.sum("df").over(Window.partitionBy("tag")) / F.col("n")
-    kept = save(has.select("token", "tag", "n", place.alias("at"), centre.alias("centre")).where(F.col("at") > _dropped(F.col("n"), least)).drop("at"), "first_tokens")
+    ranked = has.select("token", "tag", "n", place.alias("at"), centre.alias("centre"))
+    kept = save(ranked.where(F.col("at") > _dropped(F.col("n"), least, least)), "first_tokens")
     discard(has)
 
     named = kept.groupBy("token").agg(F.max_by("tag", F.struct("centre", "tag")).alias("head"))
@@ -468,16 +455,26 @@ def similar_texts(texts: DataFrame, rows: DataFrame, links: DataFrame, k: int =
 
     known = save(components(save(links.unionByName(found), "links")), "roots")
     comps = one.select("tag", "fp").join(known, F.col("fp") == F.col("node"), "left").select("tag", F.coalesce("root", "fp").alias("comp"))
-    told = save(kept.join(comps, "tag").select("token", "tag", "n", "comp"), "told")
+    told = save(kept.join(comps, "tag").select("token", "tag", "n", "at", "comp"), "told")
     mixed = told.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     told = save(told.join(mixed, "token"), "mixed")
-    side = {x: told.select("token", F.col("tag").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")).hint("merge") for x in "ab"}
-    allowed = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
-    met = side["a"].join(side["b"], "token").where((F.col("ca") < F.col("cb")) & allowed).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    band = F.floor(F.log("n") / F.log(F.lit(1 / CLOSE)) + 1e-9).cast("int")
+    bands = ceil(np.log(least) / np.log(CLOSE)) + 1
+    near, far = told.where(F.col("at") > _dropped(F.col("n"), least, CLOSE)), told.withColumn("band", band)
+    wider = far.withColumn("band", F.explode(F.array(*[F.col("band") - i for i in range(bands)])))
+    side = lambda x, rows, *also: rows.select("token", *also, F.col("tag").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")).hint("merge")
     na, nb = F.col("na"), F.col("nb")
-    overlap = F.ceil((na + nb) * (least / (1 + least)) - 1e-6)
-    must = overlap - F.greatest(na - _prefix(na, least), nb - _prefix(nb, least)) - F.least(_dropped(na, least), _dropped(nb, least))
-    return found.unionByName(_compared(texts, one, met.where(F.col("m") >= must).select("a", "b"), k, least))
+    close = F.least(na, nb) >= F.greatest(na, nb) * CLOSE
+
+    def likely(met: DataFrame, ratio: float) -> DataFrame:
+        counts = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        must = F.ceil((na + nb) * (least / (1 + least)) - 1e-6) - F.greatest(_dropped(na, least, ratio), _dropped(nb, least, ratio))
+        return counts.where(F.col("m") >= must).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    pairs = likely(side("a", near).join(side("b", near), "token").where((F.col("ca") < F.col("cb")) & close), CLOSE)
+    met = side("a", far, "band").join(side("b", wider, "band"), ["token", "band"])
+    pairs = pairs.unionByName(likely(met.where((F.col("ca") != F.col("cb")) & (na < nb) & ~close & (na >= nb * least - 1e-9)), least)).distinct()
+    return found.unionByName(_compared(texts, one, pairs, k, least))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
