@@ -63,6 +63,12 @@ def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(session: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to; else they wait for the driver's next collection."""
+    gc.collect()
+    session.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a work table that no later step reads, and lets Spark drop shuffle files out of use."""
     session = df.sparkSession
@@ -70,8 +76,7 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = hadoop.Path(folder)
         path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    session.sparkContext._jvm.System.gc()
+    release(session)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

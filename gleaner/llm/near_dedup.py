@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, discard, perhaps_in, save, words_of
+from .common import bounded, discard, perhaps_in, release, save, words_of
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -439,9 +439,15 @@ def similar_texts(texts: DataFrame, rows: DataFrame, links: DataFrame, k: int =
     buckets = max(1, ceil((one.agg(F.sum("n")).first()[0] or 0) / TOKENS_PER_BUCKET))
     dealt = texts.select("tag", "text").mapInArrow(_deal(buckets, k), DEALT)
     found = dealt.groupBy("bucket", "salt").applyInPandas(_shared, "token long, tag long")
-    has = save(found.distinct(), "shared_tokens")
-    df = has.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    has = save(has.join(df, "token").join(one.select("tag", "n"), "tag"), "counted_tokens")
+    shared = save(found, "shared_tokens")
+    release(texts.sparkSession)
+    # A text all but a few of whose tokens are its own is alike to none. Copies of a text in several
+    # flushes may tell a token twice, which counts too many and never too few.
+    enough = shared.groupBy("tag").agg(F.count(F.lit(1)).alias("m")).join(one.select("tag", "n"), "tag").where(F.col("m") > _dropped(F.col("n"), least, least))
+    has = save(shared.join(enough.select("tag", "n").hint("shuffle_hash"), "tag"), "likely_tokens")
+    discard(shared)
+    df = has.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    has = save(has.join(df, "token"), "counted_tokens")
     place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("df"), "token"))
     centre = F.sum("df").over(Window.partitionBy("tag")) / F.col("n")
     ranked = has.select("token", "tag", "n", place.alias("at"), centre.alias("centre"))
