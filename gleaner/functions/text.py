@@ -15,7 +15,7 @@ MERGE_NOISE = r"(?i)^(?:load|show|view)\s+(?:previous|next|more|items|results)|\
 STYLE_NOISE = r"(?i)(?:\.st\d+\s*\{|fill\s*:|<svg|@keyframes|font-family\s*:)"
 GENERIC_TITLE = r"(?i)^(?:under offer|sold(?:\s+stc)?|new instruction|for sale|to let)$"
 STYLE_RULES_ONLY = r"(?i)^(?:\.?st\d+\s*\{[^}]*\}\s*)+$"
-BLOCKED_PAGE = r"(?i)captcha|cf-challenge|just a moment|access denied|are you a human"
+BLOCKED_PAGE = r"(?i)\.well-known/sgcaptcha|cf-chl-|captcha|verify you are human|checking your browser"
 # Named entities, in the order in which they are decoded.
 ENTITIES_FULL = [(r"(?i)&nbsp;|&#160;", " "), (r"(?i)&amp;", "&"), (r"(?i)&quot;|&#34;", '"'), (r"(?i)&#39;|&apos;", "'"), (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">")]
 ENTITIES_SHORT = [(r"(?i)&nbsp;", " "), (r"(?i)&amp;", "&"), (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">"), (r"(?i)&quot;", '"'), (r"(?i)&#39;", "'")]

@@ -195,7 +195,7 @@ def contacts_by_source(spark, d):
 
 @query(r"""
 SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))) AS text_md5,
- regexp_matches(html[1:20000], '(?i)captcha|cf-challenge|just a moment|access denied|are you a human') AS blocked FROM pages""")
+ regexp_matches(html[1:20000], '(?i)\.well-known/sgcaptcha|cf-chl-|captcha|verify you are human|checking your browser') AS blocked FROM pages""")
 def clean_text(spark, d):
     plain = F.trim(F.regexp_replace(text.without_tags(F.col("html")), r"[ \t\n\r\f]+", " "))
     return table(spark, d, "pages").select("page_id", F.md5(plain).alias("text_md5"), text.is_blocked_page(F.col("html")).alias("blocked"))
