@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, save, words_of
+from .common import bounded, fresh, save, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS = 128, 47
@@ -212,4 +212,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     apart from others by their text, so that only those with a leak go."""
     marked = docs.select(F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("t")).alias("_key"), F.col(text_col).alias("_text"))
     hits = save(find_leaks(marked.select(F.xxhash64("_key.i", "_key.t").alias("_row"), "_text"), benchmark, "_row", "_text", **options).select("_row").distinct(), "leaks")
-    return docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col))).join(hits, "_row", "left_anti").select(*docs.columns)
+    row, = fresh(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    return keyed.join(hits.withColumnRenamed("_row", row), row, "left_anti").select(*docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, discard, perhaps_in, release, save, words_of
+from .common import bounded, discard, fresh, perhaps_in, release, save, words_of
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -493,8 +493,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     near = save(link_forest(rows.select("fp").distinct(), radius), "near")
     named = groups(rows, radius, similar_texts(texts, rows, near, TEXT_SHINGLE, least), near)
     kept = rows.select("id", "tag", "fp").join(named, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = save(kept.groupBy("head").agg(F.min_by(F.struct("id", "tag"), "tag").alias("_at")).select(F.col("_at.id").alias("_id"), F.col("_at.tag").alias("_tag")), "kept")
-    at = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (tag == F.col("_tag"))
+    own_id, own_tag = fresh(docs, "_id", "_tag")
+    kept = save(kept.groupBy("head").agg(F.min_by(F.struct("id", "tag"), "tag").alias("_at")).select(F.col("_at.id").alias(own_id), F.col("_at.tag").alias(own_tag)), "kept")
+    at = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (tag == F.col(own_tag))
     found = docs.join(kept, at, "left_semi")
     twice = rows.groupBy("id", "tag").count().where("count > 1").limit(1).count()
     return found.dropDuplicates([id_col, text_col]) if twice else found

@@ -35,3 +35,15 @@ def test_empty_and_null_rows(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
         assert p.run(spark, d).count() >= 0
+
+
+def test_columns_that_clash_stay(spark):
+    from gleaner.llm.decontamination import drop_leaks
+    from gleaner.llm.near_dedup import keep_one
+
+    item = "a passage of the benchmark that is long enough to be found in any text that holds it"
+    rows = [(1, "some words of a text that nobody else has", 7, 8, 9), (2, item, 7, 8, 9), (3, item, 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int, _id int, _tag int")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [tuple(r) for r in drop_leaks(docs, benchmark).collect()] == rows[:1]
+    assert sorted(tuple(r) for r in keep_one(docs).collect()) == rows[:2]
