@@ -2,8 +2,10 @@
 
 Each source's words, its documents one after another by id, are cut into blocks of fixed length.
 Weights are shared out over the sources and limited to CAP times what a source has. The output is
-dealt to shards: a shard's block counts for each source are a multinomial draw with probabilities in
-proportion to what each source still owes, so that the totals end on the targets. A source's draws
+dealt to shards: each source's blocks go to them by a multinomial draw of equal chances, made where the
+source's row is, so no plan passes through the driver. Seen from a shard of a given size, its
+counts of sources are drawn in proportion to what the targets ask, and over all shards they end on the
+targets; shards differ in size by about the square root of their blocks. A source's draws
 are numbered over all shards; number k of epoch e goes through the source's pseudorandom permutation
 of that epoch to a block index, and blocks are joined by index. So a block is taken e or e + 1 times.
 
@@ -24,14 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, running_totals, save
+from .common import bounded, fresh, running_totals, save
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 BLOCK_WORDS = 128
 MIN_SHARDS, WORDS_PER_SHARD = 16, 1 << 28
-#: The plan has a number for each source and shard; the number of shards is lowered to keep to it.
-MAX_PLAN = 10_000_000
 #: Draws that a task makes at most, roughly.
 DRAWS_PER_TASK = 500_000
 SEED = 20240601
@@ -53,23 +53,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
         F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(earlier), F.lit(0.0))
     )
     levels = limited.withColumn("_level", level).withColumn("_full", F.col("_level") >= F.col("_cap") / F.col("_w"))
-    first_free = F.min_by(F.when(~F.col("_full"), F.col("_level")), F.when(~F.col("_full"), F.col("_cap") / F.col("_w"))).over(everything)
+    first_free = F.min_by(F.when(~F.col("_full"), F.col("_level")), F.when(~F.col("_full"), F.struct(F.col("_cap") / F.col("_w"), "source_id"))).over(everything)
     target = F.when(F.col("_full"), F.col("_cap")).otherwise(F.least(first_free * F.col("_w"), "_cap"))
     return levels.select("source", "source_id", "source_size", target.alias("target"))
 
 
-def draw_plan(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source (column) in each shard (row): multinomial draws whose totals are ``counts``."""
-    rng, owed = np.random.default_rng(seed), counts.astype(np.int64).copy()
-    plan, total = np.zeros((shards, len(counts)), np.int64), int(counts.sum())
-    for k in range(shards):
-        room = total * (k + 1) // shards - total * k // shards
-        while room:
-            got = np.minimum(rng.multinomial(room, owed / owed.sum()), owed)
-            plan[k] += got
-            owed -= got
-            room -= int(got.sum())
-    return plan
+def deal_draws(source_id: int, source_size: int, target: float, shards: int, block_words: int, seed: int) -> pd.DataFrame:
+    """A source's draws by shard: the number of the first, and how many."""
+    n_blocks = ceil(source_size / block_words)
+    # A source's last block may be short: count in its own mean block, so that no target is missed by it.
+    count = max(int(target > 0), round(target / source_size * n_blocks))
+    drawn = np.random.default_rng([seed, source_id]).multinomial(count, np.full(shards, 1 / shards))
+    first, shard = np.cumsum(drawn) - drawn, np.flatnonzero(drawn)
+    return pd.DataFrame({"source_id": source_id, "n_blocks": n_blocks, "shard": shard, "first": first[shard], "n": drawn[shard]})
 
 
 def permuted(slot: np.ndarray, n: np.ndarray, source: np.ndarray, seed: int) -> np.ndarray:
@@ -103,28 +99,25 @@ def _with_blocks(seed: int):
     return run
 
 
-def draw_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """(shard, source_id, slot, block, epoch) for every block of the output.
+def _dealer(shards: int, block_words: int, seed: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                yield deal_draws(int(r.source_id), int(r.source_size), float(r.target), shards, block_words, seed)
 
-    The source table comes to the driver: a row for each source. What is drawn there is a count for
-    each source and shard; the draws themselves are made on the executors.
-    """
-    spark = targets.sparkSession
-    rows = [r for r in targets.orderBy("source_id").collect() if r.source_size]
-    schema = "source_id int, n_blocks long, shard int, first long, n long"
-    if not rows:
-        plan = []
-    else:
-        n_blocks = [ceil(r.source_size / block_words) for r in rows]
-        # A source's last block may be short: count in its own mean block, so that no target is missed by it.
-        counts = np.array([round(r.target / r.source_size * n) for r, n in zip(rows, n_blocks)])
-        counts = np.maximum(counts, [int(r.target > 0) for r in rows])
-        shards = max(MIN_SHARDS, ceil(sum(r.target for r in rows) / WORDS_PER_SHARD))
-        drawn = draw_plan(counts, max(1, min(shards, MAX_PLAN // len(rows))), seed)
-        first = np.cumsum(drawn, 0) - drawn
-        plan = [(int(rows[s].source_id), n_blocks[s], int(k), int(first[k, s]), int(drawn[k, s])) for k, s in zip(*np.nonzero(drawn))]
+    return run
+
+
+def draw_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """(shard, source_id, slot, block, epoch) for every block of the output. Only the sum of the targets
+    and the number of sources come to the driver."""
+    total, sources = targets.agg(F.sum("target"), F.count(F.lit(1))).first()
+    shards = max(MIN_SHARDS, ceil((total or 0) / WORDS_PER_SHARD))
+    tasks = max(8, ceil(((total or 0) / block_words + sources) / DRAWS_PER_TASK))
+    dealt = targets.where("source_size > 0").select("source_id", "source_size", "target").repartition("source_id")
+    plan = dealt.mapInPandas(_dealer(shards, block_words, seed), "source_id int, n_blocks long, shard int, first long, n long")
     slots = (
-        spark.createDataFrame(plan, schema).repartition(max(8, ceil(sum(r[-1] for r in plan) / DRAWS_PER_TASK)), "source_id", "shard")
+        plan.repartition(tasks, "source_id", "shard")
         .select("source_id", "n_blocks", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     )
     return slots.mapInPandas(_with_blocks(seed), "shard int, source_id int, slot long, block long, epoch long")
@@ -205,14 +198,15 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """``docs`` as the mix takes them: a row for each pass over a document that took words of it, with
     the whole text where the pass took all words and else the taken words' stretches in order."""
     columns = docs.columns
+    own_id, own_tie, own_turn, tie, turn_no, size, own_pieces = fresh(docs, "_id", "_tie", "_turn", "_tie2", "_turn2", "_size", "_pieces")
     placed, _, mixed = mix(docs, id_col, text_col, source_col, **options)
     pieces = mixed.groupBy("source_id", "before").agg(F.collect_list(F.struct("epoch", "from_word", "n_words")).alias("pieces"))
     # Rows that are the same in id and text are told apart by source, then by number.
     turn = Window.partitionBy("id", "tie").orderBy("source_id", "before")
     small = placed.withColumn("_turn", F.row_number().over(turn)).where("size > 0").join(pieces.hint("merge"), ["source_id", "before"])
-    small = small.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), "_turn", F.col("pieces").alias("_pieces"))
-    again = Window.partitionBy(id_col, "_tie2").orderBy(F.col(source_col).asc_nulls_last())
-    texts = docs.withColumn("_tie2", F.xxhash64(text_col)).withColumn("_turn2", F.row_number().over(again))
-    rows = texts.join(small.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_tie2") == F.col("_tie")) & (F.col("_turn2") == F.col("_turn")))
-    rows = rows.select(*columns, "_size", "_pieces")
+    small = small.select(F.col("id").alias(own_id), F.col("tie").alias(own_tie), F.col("size").alias(size), F.col("_turn").alias(own_turn), F.col("pieces").alias(own_pieces))
+    again = Window.partitionBy(id_col, tie).orderBy(F.col(source_col).asc_nulls_last())
+    texts = docs.withColumn(tie, F.xxhash64(text_col)).withColumn(turn_no, F.row_number().over(again))
+    rows = texts.join(small.hint("merge"), F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(tie) == F.col(own_tie)) & (F.col(turn_no) == F.col(own_turn)))
+    rows = rows.select(*columns, size, own_pieces)
     return bounded(rows).mapInArrow(_cut(columns.index(text_col), columns), docs.schema)

@@ -35,6 +35,10 @@ def test_secrets(spark):
     assert ledger.count() == before + 1  # only the unseen blob was scanned
     assert {r.doc_id: r.spans for r in secret_scan.report(again).collect()} == {900: _spans(rows[0][1]), 901: "assign:0:18"}
     assert secret_scan.report(secret_scan.scan(docs.select("doc_id", "text").limit(0))[0]).count() == 0
+    clashing = docs.select("doc_id", "text", F.lit(1).alias("_id"), F.lit(2).alias("_text"), F.lit(3).alias("_blob"), "spans", "blob")
+    kept, _ = secret_scan.scan(clashing)
+    assert {(r._1, r._2, r._3) for r in kept.select(F.col("_id").alias("_1"), F.col("_text").alias("_2"), F.col("_blob").alias("_3")).collect()} == {(1, 2, 3)}
+    assert sorted((str(r.doc_id), r.spans) for r in secret_scan.report(kept).collect()) == sorted((str(d), _spans(t)) for d, t in rows)
 
 
 def test_urls(spark):
@@ -73,6 +77,44 @@ def test_mix_targets(spark):
     assert mixing.take_words(docs.limit(0).drop("size")).count() == 0
 
 
+def test_targets_by_brute_force(spark):
+    """Against a level found by filling sources up one by one until none is above its limit."""
+    rng = random.Random(8)
+    for n in (1, 2, 3, 5, 9, 40):
+        sizes = {f"s{i:02}": rng.choice([0, 1, 10, 1000, 100_000]) for i in range(n)} | {None: 77}
+        order = sorted(k for k in sizes if k is not None) + [None]
+        weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}
+        left, free, want = 1.5 * sum(sizes.values()), set(sizes), {}
+        while free:
+            share = {k: left * weight[k] / sum(weight[j] for j in free) for k in free}
+            above = {k for k in free if share[k] > 2 * sizes[k]}
+            if not above:
+                want |= share
+                break
+            want |= {k: 2.0 * sizes[k] for k in above}
+            left -= sum(want[k] for k in above)
+            free -= above
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        assert {r.source for r in got} == set(sizes)
+        assert all(abs(r.target - want[r.source]) <= 1e-6 * max(1, want[r.source]) for r in got)
+
+
+def test_draws_end_on_their_count():
+    for size, target in ((1, 2.0), (129, 200.0), (128_000, 192_000.0), (10, 0.0)):
+        got = mixing.deal_draws(3, size, target, 16, 128, 1)
+        n_blocks = -(-size // 128)
+        assert got["n"].sum() == max(int(target > 0), round(target / size * n_blocks)) and (got["n_blocks"] == n_blocks).all()
+        assert (got["first"] == got["n"].cumsum() - got["n"]).all() and got["shard"].between(0, 15).all()
+
+
+def test_mixed_texts_keep_clashing_columns(spark):
+    rows, docs = _mix_docs(spark, 20)
+    names = ["_id", "_tie", "_turn", "_tie2", "_turn2", "_size", "_pieces"]
+    mixed = mixing.mix_texts(docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)]))
+    assert mixed.columns == docs.columns + names
+    assert {tuple(r) for r in mixed.select(*names).collect()} == {tuple(range(7))}
+
+
 def test_mixed_texts_hold_the_taken_words(spark):
     rows, docs = _mix_docs(spark, 80)
     taken = {}
