@@ -21,6 +21,7 @@ reported. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -184,6 +185,15 @@ def _search(index: ItemIndex, similarity: float):
     return run
 
 
+def _leaky(index: ItemIndex, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, hashlib.sha256(t.as_py()).digest()) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) if index.search(t.as_py(), similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.binary())], ["id", "digest"])
+
+    return run
+
+
 def _passes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark in blocks of ITEMS_PER_PASS rows at most; one block is in the driver at a time."""
     rows = benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("binary")).distinct()
@@ -207,11 +217,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item. Rows whose id is null are told
-    apart from others by their text, so that only those with a leak go."""
-    marked = docs.select(F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("t")).alias("_key"), F.col(text_col).alias("_text"))
-    hits = save(find_leaks(marked.select(F.xxhash64("_key.i", "_key.t").alias("_row"), "_text"), benchmark, "_row", "_text", **options).select("_row").distinct(), "leaks")
-    row, = fresh(docs, "_row")
-    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)))
-    return keyed.join(hits.withColumnRenamed("_row", row), row, "left_anti").select(*docs.columns)
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item. A row is known by its id and its
+    text's SHA-256, so of rows with equal ids, or with none, only those with a leak go."""
+    texts = bounded(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
+    found = [texts.mapInArrow(_leaky(ItemIndex(block, k), similarity), "id long, digest binary") for block in _passes(benchmark, item_id, item_text)]
+    if not found:
+        return docs
+    hits = save(reduce(DataFrame.unionByName, found).distinct(), "leaks")
+    row, digest = fresh(docs, "_row", "_digest")
+    gone = hits.select(F.col("id").alias(row), F.col("digest").alias(digest))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(row)) & (F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)) == F.col(digest))
+    return docs.join(gone, same, "left_anti")

@@ -9,7 +9,8 @@ Positions count code points. ``split`` gives the text between the matches of a r
 ``regexp_extract_all`` the matches, so running sums of their lengths give the spans.
 
 Null texts count as empty. Null paths, and repeated rows, each get their row. Findings of equal
-texts are equal. An empty table gives an empty result. Other columns are kept.
+texts are equal. An empty table gives an empty result. Other columns are kept, but for those named
+blob or spans in any case of letters, which the result's own replace.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .common import fresh, work_path
 
 RULES_VERSION = 1
 #: Kind, pattern, group whose length counts, least length.
@@ -63,24 +64,25 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_i
     One copy of each blob is scanned: the row with the least path, found from ids and digests alone,
     so that a text crosses the network once at most and a blob with many paths makes no large group.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    versions = paths.withColumns({"blob": F.sha2(text, 256), "_text": text})
-    seen = versions.groupBy("blob").agg(F.min(id_col).alias("_id"))
+    text, content = fresh(paths, "_text")[0], F.coalesce(F.col(text_col), F.lit(""))
+    versions = paths.withColumns({"blob": F.sha2(content, 256), text: content})
+    least, other = fresh(versions, "_id", "_blob")
+    seen = versions.groupBy("blob").agg(F.min(id_col).alias(least))
     if ledger is not None:
         seen = seen.join(ledger.where(F.col("rules_version") == version).select("blob"), "blob", "left_anti")
-    unseen = seen.select(F.col("blob").alias("_blob"), "_id")
-    picked = versions.join(unseen.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("blob") == F.col("_blob")), "left_semi")
-    fresh = (
-        picked.select("blob", scan_text(F.col("_text"), rules).alias("spans"))
+    unseen = seen.select(F.col("blob").alias(other), least)
+    picked = versions.join(unseen.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(least)) & (F.col("blob") == F.col(other)), "left_semi")
+    scanned = (
+        picked.select("blob", scan_text(F.col(text), rules).alias("spans"))
         .groupBy("blob").agg(F.first("spans").alias("spans"))
         .select("blob", F.lit(version).alias("rules_version"), "spans")
     )
     path = work_path(paths.sparkSession, "ledger")
-    fresh.write.parquet(path)
-    fresh = paths.sparkSession.read.schema(LEDGER_SCHEMA).parquet(path)
-    ledger = fresh if ledger is None else ledger.unionByName(fresh)
+    scanned.write.parquet(path)
+    scanned = paths.sparkSession.read.schema(LEDGER_SCHEMA).parquet(path)
+    ledger = scanned if ledger is None else ledger.unionByName(scanned)
     known = ledger.where((F.col("rules_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    joined = versions.drop("_text", text_col, *({"spans"} & set(paths.columns))).join(known, "blob", "left")
+    joined = versions.drop(text, text_col, "spans").join(known, "blob", "left")
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast(known.schema["spans"].dataType))), ledger
 
 

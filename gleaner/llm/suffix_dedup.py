@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, save
+from .common import bounded, discard, fresh, save
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
@@ -463,7 +463,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of the texts; bytes of a letter cut in two go as well."""
     tag = _tag(docs, id_col, text_col)
-    spans = repeated_spans(_texts(docs, id_col, text_col, tag)).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans"))
+    own_doc, own_tag, own_spans = fresh(docs, "_doc", "_tag", "_spans")
+    spans = repeated_spans(_texts(docs, id_col, text_col, tag)).select(F.col("doc").alias(own_doc), F.col("tag").alias(own_tag), F.col("spans").alias(own_spans))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.join(spans, (key == F.col("_doc")) & (tag == F.col("_tag")), "left")
-    return rows.select(*docs.columns, "_spans").mapInArrow(_cutter(docs.columns, docs.columns.index(text_col)), docs.schema)
+    rows = docs.join(spans, (key == F.col(own_doc)) & (tag == F.col(own_tag)), "left")
+    return rows.select(*docs.columns, own_spans).mapInArrow(_cutter(docs.columns, docs.columns.index(text_col)), docs.schema)

@@ -51,5 +51,18 @@ def test_edges(spark):
     kept = drop_leaks(docs, bench)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, ""), (2, ""), (3, "x"), (5, "a1 a2 a3 a4 a5")]
+    more = docs.selectExpr("*", "1 AS _row", "2 AS _digest", "3 AS id")
+    assert drop_leaks(more, bench).columns == more.columns and drop_leaks(more, bench).count() == 4
+    assert drop_leaks(docs, bench.limit(0)).count() == 6
     assert find_leaks(docs, bench.limit(0)).count() == 0
     assert find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_very_long_text_and_ties(spark):
+    item = " ".join(f"a{i}" for i in range(20))
+    long = " ".join(f"x{i}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, f"{item} {item}"), (3, long)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, item)], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.first_word) for r in find_leaks(docs, bench).collect())
+    assert found == [(1, 7, 50_000), (1, 8, 50_000), (2, 7, 0), (2, 8, 0)]  # the first of equal windows, every item
+    assert [r.doc_id for r in drop_leaks(docs, bench).collect()] == [3]
