@@ -1,4 +1,4 @@
-"""Exact deduplication through a minimal perfect hash over digests that are known to repeat.
+"""Exact deduplication through a minimal perfect hash over the distinct digests of a history.
 
 The history is a table of distinct digests, each with the id of the row that won and its number of
 copies. Digests are dealt to buckets; each bucket gets its own minimal perfect hash (hash and
@@ -6,6 +6,9 @@ displace), whose slots hold the full digest and the winner's locator. A lookup c
 slot and compares all 32 bytes: a hit is a repeat of the slot's winner, a miss is new, and the new
 rows are grouped among themselves.
 
+Of one table, the rows from the median id upwards are the history of the others. The largest id stays,
+so a winner of the history is final whatever follows; only its number of copies grows.
+
 Nulls count as empty texts. Ids may be null: they lose against any other id. Rows that repeat the
 winning id are each marked as kept. An empty table gives an empty result.
 """
@@ -25,6 +28,8 @@ KEYS_PER_BUCKET = 4096
 ROWS_PER_BUCKET = 4096
 #: A bucket is hot beyond this many times ROWS_PER_BUCKET, or beyond 1 / HOT_BUCKETS of all rows.
 HOT_FACTOR, HOT_BUCKETS = 4, 10_000
+#: Groups of more than 1 / HOT of all rows are fewer than HOT; what they hold is broadcast.
+HOT = 1000
 
 INDEX_SCHEMA = "bucket long, n int, seed long, pilots binary, digests binary, winners binary, copies binary"
 
@@ -104,12 +109,9 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
-def repeated_digests(rows: DataFrame) -> DataFrame:
-    """History entries (digest, winner, copies) of the digests that more than one row has."""
-    return (
-        rows.groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1 and winner is not null")
-    )
+def distinct_digests(rows: DataFrame) -> DataFrame:
+    """History entries (digest, winner, copies) of ``rows`` (id, digest), whose ids are not null."""
+    return rows.groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("copies"))
 
 
 def build_index(history: DataFrame, n_buckets: int) -> DataFrame:
@@ -156,22 +158,42 @@ def lookup(rows: DataFrame, index: DataFrame, n_buckets: int, n_rows: int) -> Da
     )
 
 
-def dedup(rows: DataFrame, history: DataFrame) -> DataFrame:
-    """(id, digest, keep_id, group_size) of every row of ``rows`` (id, digest) against ``history``
-    (digest, winner, copies): repeats of the history take its winner, the rest are grouped alone."""
+def with_groups(rows: DataFrame, groups: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` with the columns that ``groups`` has for their digest. Large groups are few and are
+    broadcast, so that none brings its rows to one task."""
+    large = F.col("group_size") > n_rows / HOT
+    few, many = F.broadcast(groups.where(large)), groups.where(~large)
+    rest = rows.join(few.select("digest"), "digest", "left_anti")
+    return rows.join(few, "digest").unionByName(rest.join(many.hint("merge"), "digest"))
+
+
+def dedup(rows: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, digest) with keep_id and group_size against ``history`` (digest, winner, copies),
+    and the history with its groups' new sizes (digest, keep_id, group_size). Repeats of the history
+    take the winner that their slot names; the rest are grouped alone."""
     n_rows, n_keys = rows.count(), history.count()
     n_buckets = max(1, ceil(n_rows / ROWS_PER_BUCKET), ceil(n_keys / KEYS_PER_BUCKET))
     found = save(lookup(rows, build_index(history, n_buckets), n_buckets, n_rows), "lookups")
-    members = found.where("copies is not null").select("id", "digest", F.col("winner").alias("keep_id"), F.col("copies").alias("group_size"))
+    members = found.where("copies is not null").select("id", "digest", F.col("winner").alias("keep_id"))
+    more = members.groupBy("digest").agg(F.count(F.lit(1)).alias("more"))
+    size = F.col("copies") + F.coalesce("more", F.lit(0).cast("long"))
+    known = save(history.join(more.hint("merge"), "digest", "left").select("digest", F.col("winner").alias("keep_id"), size.alias("group_size")), "groups")
     new = found.where("copies is null").select("id", "digest")
-    own = new.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return members.unionByName(new.join(own, "digest").select("id", "digest", "keep_id", "group_size"))
+    own = save(new.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "new_groups")
+    told = with_groups(members, known.select("digest", "group_size"), n_rows).unionByName(with_groups(new, own, n_rows))
+    return told, known
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document, dropped ones too; of equal texts the row with the largest id stays."""
     rows = save(digest_rows(docs, id_col, text_col), "digests")
-    return dedup(rows, save(repeated_digests(rows), "history")).select(
+    n_rows, middle = rows.agg(F.count(F.lit(1)), F.percentile_approx("id", 0.5, 1000)).first()
+    # Null ids lose against any other, so they are no history. Rows with the same id are on the same side.
+    early = F.coalesce(F.col("id") >= F.lit(middle).cast("long"), F.lit(False))
+    history = save(distinct_digests(rows.where(early)), "history")
+    later, known = dedup(rows.where(~early), history)
+    told = later.unionByName(with_groups(rows.where(early), known, n_rows))
+    return told.select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

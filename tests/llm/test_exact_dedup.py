@@ -23,6 +23,7 @@ def test_groups(spark, monkeypatch, hot):
     if hot:  # every bucket is split
         monkeypatch.setattr(m, "ROWS_PER_BUCKET", 4)
         monkeypatch.setattr(m, "HOT_FACTOR", 1)
+        monkeypatch.setattr(m, "HOT", 20)
     rng = random.Random(1)
     texts = [None, "", "A", "a", "É", "é", "x" * 100_000] + [f"text {rng.randint(0, 60)}" for _ in range(200)]
     rows = [(None if i in (1, 3) else i % 190, t) for i, t in enumerate(texts)]
@@ -39,3 +40,19 @@ def test_groups(spark, monkeypatch, hot):
 
 def test_empty(spark):
     assert m.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lookups_against_a_history(spark):
+    """Hits and misses by the slots' bytes; the history grows by the hits."""
+    digest = lambda i: hashlib.sha256(str(i).encode()).digest()
+    history = spark.createDataFrame([(digest(i), 1000 + i, 1 + i % 3) for i in range(300)], "digest binary, winner long, copies long")
+    rows = spark.createDataFrame([(i, digest(i % 400)) for i in range(900)] + [(None, digest(0)), (None, digest(9999))], "id long, digest binary")
+    told, known = m.dedup(rows, history)
+    ids = {}
+    for i in range(900):
+        ids.setdefault(i % 400, []).append(i)
+    extra = lambda i: len(ids[i]) + (i == 0)
+    want = [(i, 1000 + i % 400, 1 + i % 400 % 3 + extra(i % 400)) if i % 400 < 300 else (i, max(ids[i % 400]), len(ids[i % 400])) for i in range(900)]
+    want += [(None, 1000, 1 + extra(0)), (None, None, 1)]
+    assert sorted(map(str, want)) == sorted(str((r.id, r.keep_id, r.group_size)) for r in told.collect())
+    assert {bytes(r.digest): r.group_size for r in known.collect()} == {digest(i): 1 + i % 3 + extra(i) for i in range(300)}
