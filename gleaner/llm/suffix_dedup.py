@@ -397,7 +397,7 @@ def _cutter(names: list[str], text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column("_spans").to_pylist()):
+            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()):
                 if spans:
                     raw, out, at = text.encode(), [], 0
                     for a, z in sorted((x["start"], x["stop"]) for x in spans):

@@ -83,3 +83,12 @@ def test_spans_against_brute_force(spark, seed, hot, monkeypatch):
 
 def test_empty(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_cut_texts_keep_clashing_columns(spark):
+    from gleaner.llm.suffix_dedup import drop_repeats
+
+    docs = spark.createDataFrame([(1, "abc" * 30, 4), (2, "abc" * 30, 4), (None, "d", 4)], "doc_id long, text string, _doc int").selectExpr("*", "5 AS _tag", "6 AS _spans")
+    got = drop_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "abc" * 30, 4, 5, 6), (2, "", 4, 5, 6), (None, "d", 4, 5, 6)]))
