@@ -81,10 +81,16 @@ def op12_centroids(spark, sf_dir):
     return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_edit_fingerprints(spark, sf_dir):
+    from .edit_embedding import edit_fingerprints
+
+    return edit_fingerprints(documents(spark, sf_dir))
+
+
 def queries():
     found = (
         op1_secret_scan, op2_decontamination, op3_mixing, op4_near_dedup, op5_exact_dedup, op6_line_dedup, op7_suffix_dedup,
-        op8_url_filter, op9_quality, op10_token_files, op11_collocations, op12_centroids,
+        op8_url_filter, op9_quality, op10_token_files, op11_collocations, op12_centroids, op13_edit_fingerprints,
     )
     return {f.__name__: f for f in found}
 
@@ -125,7 +131,8 @@ c{i + 1} AS MATERIALIZED (SELECT c.no, c.i, CASE WHEN n IS NULL THEN x ELSE ((s
 ORACLE_SQL = {
     "op11_collocations": rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 s AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
 n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM s GROUP BY lang),
 g AS (SELECT lang, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: ws[i:i + m - 1])) AS w FROM s CROSS JOIN range(1, 6) t(m) WHERE len(ws) >= m),
