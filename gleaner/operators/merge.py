@@ -151,6 +151,31 @@ def merge_by_key(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias(order), *out)
 
 
+def merged_pair(old: Column, new: Column, kind: DataType, name: str = "") -> Column:
+    """The merge of two values of one row, ``old`` first: what ``merge_by_key`` makes of two rows."""
+    if isinstance(kind, ArrayType):
+        both = F.array_distinct(F.concat(old, new))
+        return F.when(F.coalesce(F.size(new), F.lit(-1)) < 1, old).when(F.coalesce(F.size(old), F.lit(-1)) < 1, new).otherwise(both)
+    if one_or_many(kind):
+        item, full = kind["one"].dataType, lambda x: F.coalesce(F.size(x["many"]) > 0, F.lit(False))
+        none = lambda x: ~full(x) & F.coalesce(x["one"].cast("string") == "", F.lit(True))
+        listed = lambda x: F.when(full(x), x["many"]).otherwise(F.array(x["one"]))
+        one, many = merged_pair(old["one"], new["one"], item, name), F.array_distinct(F.concat(listed(old), listed(new)))
+        scalars = F.struct(one.alias("one"), F.lit(None).cast(kind["many"].dataType).alias("many"))
+        arrays = F.struct(F.lit(None).cast(item).alias("one"), many.alias("many"))
+        return F.when(none(new), old).when(none(old), new).when(full(old) | full(new), arrays).otherwise(scalars)
+    if isinstance(kind, StructType):
+        fields = F.struct(*[merged_pair(old[f.name], new[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields])
+        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(fields)
+    empty = lambda x: F.coalesce(x.cast("string") == "", F.lit(True))
+    kept = old
+    if isinstance(kind, StringType) and _LONG.search(name):
+        kept = F.when(F.length(new) > F.length(old), new).otherwise(kept)
+    if isinstance(kind, StringType) and _CLEAN.search(name):
+        kept = F.when(old.rlike(MERGE_NOISE), new).otherwise(kept)
+    return F.when(empty(old), new).when(empty(new), old).otherwise(kept)
+
+
 def last_wins(df: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
     """The last row of each key at the place of its first."""
     rest = [c for c in df.columns if c not in (*keys, order)]

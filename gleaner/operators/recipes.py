@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import listing, numbers, text
+from .batch import numbered
 from .quality import ARRAY_FIELDS, NUMBER_FIELDS, STRING_FIELDS
 
 VERSION = 2
@@ -127,12 +128,5 @@ def even_sample(df: DataFrame, order: list[str], n: int = 8) -> DataFrame:
 
 
 def with_row_numbers(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds row_number from 0 in ``order``: each range of rows counts alone, from where the ranges
-    before it end. Only the counts of the ranges are seen together."""
-    from pyspark.sql.window import Window
-
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(base, "_part").withColumn("row_number", F.col("_base") + local - 1).drop("_part", "_base")
+    """Adds row_number from 0 in ``order``."""
+    return numbered(df, [], order, "row_number")

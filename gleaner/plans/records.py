@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import merge
+from ..functions import urls
+from ..operators import batch, collect, enrich, merge, store
 from ..sources.tables import table
 from . import listings  # noqa: F401
-from .queries import QUERIES, SQL, query
+from .queries import _ORIGIN, _TITLE, QUERIES, SQL, _title, _x, query
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -32,3 +33,90 @@ def nested_merge(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("ord"), agent.alias("agent"), F.struct(notes.alias("notes")).alias("more"))
     out = merge.merge_by_key(rows, "conv_id")
     return out.select("conv_id", "ord", "agent.name", "agent.summary", F.array_join("agent.tags", "|").alias("tags"), F.col("more.notes.one").alias("one"), F.array_join("more.notes.many", "|").alias("many"))
+
+
+_HEADING, _PARAGRAPH = "<h1>([^<]*)</h1>", "<p>([^<]*)</p>"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, {_ORIGIN} AS origin, {_x('url', 3)} AS path, {_TITLE} AS title, regexp_extract(html, '{_HEADING}', 1) AS h1, regexp_extract(html, '{_PARAGRAPH}', 1) AS para FROM pages),
+e AS (SELECT origin || path AS url, arg_min(h1, page_id) AS title, min(page_id) AS id FROM p WHERE page_id % 2 = 1 GROUP BY 1),
+s AS (SELECT origin || path AS url, arg_min(title, page_id) AS title, arg_min(para, page_id) AS description, min(page_id) AS id FROM p GROUP BY 1),
+d AS (SELECT url, coalesce(nullif(e.title, ''), nullif(s.title, '')) AS title, CASE WHEN s.description = '' OR length(s.title) > length(s.description) THEN nullif(s.title, '') ELSE s.description END AS description,
+  CASE WHEN e.id IS NULL THEN ['o' || s.id] ELSE ['e' || e.id, 'o' || s.id] END AS images FROM s LEFT JOIN e USING (url)),
+l AS (SELECT page_id, origin, origin || path AS url, CASE WHEN page_id % 4 = 0 THEN 'Show more items' ELSE title END AS title, CASE WHEN page_id % 5 > 1 THEN nullif(title[1:10], '') END AS description,
+  CASE WHEN page_id % 2 = 0 THEN ['i' || page_id] END AS images, page_id % 7 <> 0 AS linked FROM p),
+c AS (SELECT page_id FROM l WHERE linked QUALIFY row_number() OVER (PARTITION BY origin ORDER BY CASE WHEN images IS NULL THEN 5 ELSE 0 END + CASE WHEN description IS NULL THEN 3 ELSE 0 END DESC, page_id) <= 1),
+j AS (SELECT l.*, c.page_id IS NOT NULL AS wanted, d.title AS dt, d.description AS dd, d.images AS di FROM l LEFT JOIN c USING (page_id) LEFT JOIN d ON d.url = l.url AND c.page_id IS NOT NULL)
+SELECT page_id, CASE WHEN dt IS NOT NULL AND (title = '' OR title = 'Show more items') THEN dt ELSE title END AS title, CASE WHEN coalesce(length(dd), 0) > coalesce(length(description), 0) THEN dd ELSE description END AS description,
+  array_to_string(CASE WHEN di IS NULL THEN images WHEN images IS NULL THEN di ELSE list_concat(images, di) END, '|') AS images, CASE WHEN wanted THEN di IS NOT NULL END AS enriched FROM j""")
+def detail_enrichment(spark, d):
+    """Pages as listings, enriched from the pages at the same URL: each of these tells a heading, a title with a
+    first paragraph, and pictures, merged in this order; one page for each origin."""
+    where = F.concat(urls.origin(F.col("url")), urls.path(F.col("url")))
+    pages = table(spark, d, "pages").select("page_id", "url", where.alias("detail_url"), _title().alias("title"), F.regexp_extract("html", _HEADING, 1).alias("h1"), F.regexp_extract("html", _PARAGRAPH, 1).alias("para"))
+    picture = lambda kind: F.array(F.concat(F.lit(kind), F.col("page_id").cast("string"))).alias("images")
+    at = ["detail_url", F.col("page_id").alias("ord")]
+    embedded = pages.where("page_id % 2 = 1").select(*at, F.col("h1").alias("title"), picture("e"))
+    static = pages.select(*at, "title", F.col("para").alias("description"))
+    graph = pages.select(*at, F.col("title").alias("description"), picture("o"))
+    details = enrich.detail_records([embedded, static, graph], "detail_url")
+    link = F.when(F.col("page_id") % 7 == 0, "mailto:x").when(F.col("page_id") % 3 == 0, urls.path(F.col("url"))).otherwise(F.col("detail_url"))
+    rows = pages.select(
+        "page_id", F.concat(urls.origin(F.col("url")), F.lit("/")).alias("source_url"), link.alias("url"), F.when(F.col("page_id") % 4 == 0, "Show more items").otherwise(F.col("title")).alias("title"),
+        F.when(F.col("page_id") % 5 > 1, F.nullif(F.substring("title", 1, 10), F.lit(""))).alias("description"), F.when(F.col("page_id") % 2 == 0, picture("i")).alias("images"), F.col("page_id").alias("ord"),
+    )
+    need = store.need_score(F.size("images") > 0, F.col("description") != "", F.lit(False))
+    out = enrich.enrich(rows, details, need, 1, "page_id")
+    return out.select("page_id", "title", "description", F.array_join("images", "|").alias("images"), "enriched")
+
+
+_BATCH = """
+WITH l AS (SELECT doc_id, lang AS file, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS position FROM documents WHERE lang <> 'es'),
+s AS (SELECT lang AS file, quality, row_number() OVER (PARTITION BY lang ORDER BY d.doc_id) - 1 AS position FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (lang = 'fr' AND d.doc_id % 10 = 3)),
+same AS (SELECT file FROM (SELECT file, count(*) AS n FROM l GROUP BY file) JOIN (SELECT file, count(*) AS n FROM s GROUP BY file) USING (file, n)),
+r AS (SELECT l.*, CASE WHEN quality = 1 AND file IN (FROM same) THEN 'ok' END AS saved FROM l LEFT JOIN s USING (file, position)),
+p AS (SELECT *, saved IS NULL AS pending, saved IS NULL AND row_number() OVER (PARTITION BY saved IS NULL ORDER BY file, position) <= 150 AS selected FROM r),
+w AS (SELECT doc_id, file, position, pending, selected, CASE WHEN selected THEN CASE WHEN n_chars < 400 THEN 'failed' ELSE 'ok' END ELSE saved END AS status, CASE WHEN selected THEN 'second' WHEN saved IS NOT NULL THEN 'first' END AS run FROM p)"""
+
+
+def _batches(spark, d):
+    """Documents as files of listings, a file a language. An earlier run saved rows for all of them but a few
+    French ones, so that file starts again; Spanish ones are platform rows alone and are skipped. The
+    second run takes 150 rows that have none or failed, and is written back by position."""
+    docs, labels = table(spark, d, "documents").select("doc_id", F.col("lang").alias("file"), "n_chars"), table(spark, d, "labels").select("doc_id", "quality")
+    rows = batch.numbered(docs, ["file"], ["doc_id"])
+    spanish = F.col("file") == "es"
+    rows = rows.join(batch.lossy_files(rows, spanish, ~spanish, F.lit(False)), "file", "left_anti")
+    before = docs.where("not (file = 'fr' and doc_id % 10 = 3)").join(labels, "doc_id", "left")
+    told = lambda status, run: F.struct(status.alias("status"), F.lit(run).alias("run"))
+    platform = F.when(F.col("quality").isNotNull(), told(F.when(F.col("quality") == 1, "ok").otherwise("failed"), "first"))
+    saved = batch.numbered(before.select("doc_id", "file", platform.alias("platform")), ["file"], ["doc_id"])
+    failed = F.col("platform.status") == "failed"
+    rows = batch.resume(rows, saved, failed=failed)
+    rows = batch.select_budget(rows, batch.pending(F.col("platform"), failed), 150)
+    new = rows.where("selected").select("file", "position", told(F.when(F.col("n_chars") < 400, "failed").otherwise("ok"), "second").alias("platform"))
+    return batch.write_back(rows, new)
+
+
+@query(_BATCH + " SELECT * FROM w")
+def resumed_batches(spark, d):
+    return _batches(spark, d).select("doc_id", "file", "position", "pending", "selected", "platform.status", "platform.run")
+
+
+@query(_BATCH + """ SELECT file, count(*) AS total, count(*) FILTER (WHERE selected) AS attempted, count(*) FILTER (WHERE pending AND NOT selected) AS remaining,
+ count(*) FILTER (WHERE selected AND status = 'ok') AS normalized, count(*) FILTER (WHERE selected AND status = 'failed') AS failed FROM w GROUP BY file""")
+def resumed_batch_report(spark, d):
+    return batch.batch_report(_batches(spark, d), F.col("platform.status") == "failed")
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id // 1000 + 1 AS page, event_id, event_type || ':' || floor(value / 15)::BIGINT AS key FROM events),
+f AS (SELECT user_id, key, min(event_id) AS event_id, min(page) AS page FROM r WHERE page <= 8 GROUP BY user_id, key),
+g AS (SELECT user_id, page, count(*) AS added FROM f GROUP BY user_id, page),
+stop AS (SELECT user_id, min(p) AS stop FROM (SELECT DISTINCT user_id FROM r) u CROSS JOIN range(1, 10) t(p) WHERE NOT EXISTS (FROM g WHERE g.user_id = u.user_id AND g.page = p) GROUP BY user_id)
+SELECT user_id, page, event_id, key FROM f JOIN stop USING (user_id) WHERE page < stop""")
+def page_collection(spark, d):
+    """Events as the records of pages: a user's pages are followed while they bring new kinds of events."""
+    rows = table(spark, d, "events").select("user_id", F.expr("event_id div 1000 + 1").alias("page"), "event_id", F.concat_ws(":", "event_type", F.floor(F.col("value") / 15).cast("string")).alias("key"))
+    return collect.collect_pages(rows, F.col("key"), "user_id", "page", "event_id", 8).select("user_id", "page", "event_id", "key")
