@@ -24,7 +24,9 @@ def is_absolute(url: Column) -> Column:
 
 
 def origin(url: Column) -> Column:
-    return F.when(is_absolute(url), F.lower(F.concat(_part(url, 1), F.lit("://"), _part(url, 2))))
+    """Scheme, host and port, without the default one."""
+    whole = F.lower(F.concat(_part(url, 1), F.lit("://"), F.regexp_extract(_part(url, 2), "([^@]*)$", 1)))
+    return F.when(is_absolute(url), F.regexp_replace(whole, r"^(http:.*):(?:80)?$|^(https:.*):(?:443)?$", "$1$2"))
 
 
 def path(url: Column) -> Column:
@@ -59,17 +61,66 @@ def dedupe_key(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(whole, url), "/$", "")
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)``, where ``value`` is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _escaped(text: Column, unsafe: str) -> Column:
+    """Percent-encodes the characters that match ``unsafe``."""
+    one = lambda c: F.when(c.rlike(unsafe), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+    return _with(text, lambda t: F.when(t.rlike(unsafe), F.array_join(F.transform(F.split(t, ""), one), "")).otherwise(t))
+
+
+def without_dot_segments(path: Column) -> Column:
+    """A path that begins with a slash, with its . and .. taken."""
+    dot, up = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
+    step = lambda kept, s: F.when(s.rlike(up), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(s.rlike(dot), kept).otherwise(F.concat(kept, F.array(s)))
+
+    def taken(p: Column) -> Column:
+        steps = F.split(F.substr(p, F.lit(2)), "/")
+        end = F.when(F.element_at(steps, -1).rlike(r"(?i)^(?:\.|%2e){1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(steps, F.array().cast("array<string>"), step), end), "/"))
+
+    return _with(path, lambda p: F.when(p.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), taken(p)).otherwise(p))
+
+
+def normal(url: Column) -> Column:
+    """An absolute URL as a browser writes it: scheme and host lower-cased, the default port left out, dot
+    segments taken, an empty path a slash, what may not stand in a part percent-encoded."""
+
+    def parts(u: Column) -> Column:
+        place = F.lower(F.regexp_replace(F.concat(_part(u, 1), F.lit("://"), F.regexp_extract(_part(u, 2), "([^@]*)$", 1)), r"^(?i)(http:.*):(?:80)?$|^(https:.*):(?:443)?$", "$1$2"))
+        user = F.regexp_extract(_part(u, 2), "^(.*@)", 1)
+        steps = F.regexp_replace(F.regexp_replace(_part(u, 3), r"\\", "/"), "^$", "/")
+        steps = _escaped(without_dot_segments(steps), "[^\\x21-\\x7e]|[\"<>`{}]")
+        rest = F.concat(_escaped(_part(u, 4), "[^\\x21-\\x7e]|[\"'<>]"), _escaped(F.regexp_extract(u, "(#.*)$", 1), "[^\\x21-\\x7e]|[\"<>`]"))
+        with_user = F.when(user != "", F.regexp_replace(place, "://", F.concat(F.lit("://"), user))).otherwise(place)
+        return F.concat(with_user, steps, rest)
+
+    return _with(F.trim(url), parts)
+
+
 def absolute(link: Column, base: Column) -> Column:
-    """A link as seen from a page: absolute, scheme-relative, root-relative or relative to the folder."""
-    folder = F.regexp_extract(path(base), "^(.*/)", 1)
-    return (
-        F.when(is_absolute(link) | ~is_absolute(base), link)
-        .when(link.startswith("//"), F.concat(F.lower(_part(base, 1)), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin(base), link))
-        .when(link.rlike("^[?#]"), F.concat(origin(base), path(base), link))
-        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .otherwise(F.concat(origin(base), F.when(folder == "", "/").otherwise(folder), F.regexp_replace(link, r"^\./", "")))
-    )
+    """A link as seen from a page: absolute, root-relative or relative to the folder, in its normal form. One
+    without a scheme but with a host gets the page's scheme and stays as it is otherwise; so do links of
+    other schemes, and all links where the page's own URL is none (if it is null, absolute ones are normal)."""
+
+    def joined(text: Column, page: Column) -> Column:
+        top = F.concat(_part(page, 1), F.lit("://"), _part(page, 2))
+        folder = F.coalesce(F.nullif(F.regexp_extract(path(page), "^(.*/)", 1), F.lit("")), F.lit("/"))
+        return (
+            F.when(is_absolute(text), text).when(text.startswith("/"), F.concat(top, text)).when(text.startswith("?"), F.concat(top, path(page), text))
+            .when((text == "") | text.startswith("#"), F.concat(top, path(page), _part(page, 4), text)).otherwise(F.concat(top, folder, text))
+        )
+
+    def seen(both: Column) -> Column:
+        text, page = both["text"], both["page"]
+        other = text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & ~text.rlike("(?i)^https?://")
+        stays = (both["link"] == "") | both["link"].isNull() | (~is_absolute(page) & page.isNotNull()) | other | (page.isNull() & ~is_absolute(text))
+        return F.when(stays, both["link"]).when(both["link"].startswith("//"), F.concat(F.lower(_part(page, 1)), F.lit(":"), both["link"])).otherwise(normal(joined(text, page)))
+
+    return _with(F.struct(link.alias("link"), F.trim(link).alias("text"), base.alias("page")), seen)
 
 
 def same_origin(a: Column, b: Column) -> Column:

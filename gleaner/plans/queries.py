@@ -210,7 +210,7 @@ def title_noise_filter(spark, d):
 
 @query(f"""
 WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages)
-SELECT {_ORIGIN} || link AS target, count(*) AS n, min(page_id) AS first_page FROM l GROUP BY 1""")
+SELECT {_ORIGIN} || array_to_string(list_transform(string_split(link, ''), lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7e]') THEN url_encode(c) ELSE c END), '') AS target, count(*) AS n, min(page_id) AS first_page FROM l GROUP BY 1""")
 def page_links_absolute(spark, d):
     links = table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("link"))
     target = urls.absolute(F.col("link"), F.col("url"))
