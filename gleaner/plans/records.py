@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import batch, collect, enrich, merge, store
+from ..sources import sitemaps
 from ..sources.tables import table
 from . import listings  # noqa: F401
 from .queries import _ORIGIN, _TITLE, QUERIES, SQL, _title, _x, query
@@ -120,3 +121,61 @@ def page_collection(spark, d):
     """Events as the records of pages: a user's pages are followed while they bring new kinds of events."""
     rows = table(spark, d, "events").select("user_id", F.expr("event_id div 1000 + 1").alias("page"), "event_id", F.concat_ws(":", "event_type", F.floor(F.col("value") / 15).cast("string")).alias("key"))
     return collect.collect_pages(rows, F.col("key"), "user_id", "page", "event_id", 8).select("user_id", "page", "event_id", "key")
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT page_id, page_id % 5 AS s, page_id // 5 AS i FROM pages),
+e AS (SELECT s, CASE WHEN i % 3 = 0 THEN 'index' || i % 7 || '.xml' WHEN i % 3 = 1 THEN 'sitemap.xml' ELSE 'part' || i % 11 || '.xml' END AS file, page_id AS pos,
+  CASE WHEN i % 3 = 0 THEN CASE WHEN i % 2 = 0 THEN 'index' || i % 5 || '.xml' ELSE 'part' || i % 13 || '.xml' END WHEN i % 3 = 1 THEN 'index' || i % 4 || '.xml' ELSE 'p/' || page_id // 2 END AS loc, i % 3 < 2 AS nested FROM p),
+e2 AS (SELECT s, file, loc, nested, row_number() OVER (PARTITION BY s, file ORDER BY pos) - 1 AS pos FROM e),
+q AS (SELECT s, ARRAY['index1.xml', 'sitemap.xml'] AS todo, ARRAY[]::VARCHAR[] AS done FROM (SELECT DISTINCT s FROM p)
+  UNION ALL SELECT q.s, CASE WHEN list_contains(done, todo[1]) THEN todo[2:] ELSE list_concat(todo[2:], coalesce((SELECT list(loc ORDER BY pos) FROM e2 WHERE e2.s = q.s AND e2.file = todo[1] AND nested), [])) END,
+   CASE WHEN list_contains(done, todo[1]) THEN done ELSE list_append(done, todo[1]) END FROM q WHERE len(todo) > 0 AND len(done) < 12),
+v AS (SELECT s, unnest(done) AS file, unnest(range(1, len(done) + 1)) AS turn FROM q QUALIFY row_number() OVER (PARTITION BY s ORDER BY len(done) DESC) = 1),
+l AS (SELECT s, loc, row_number() OVER (PARTITION BY s ORDER BY turn, pos) - 1 AS ord FROM v JOIN e2 USING (s, file) WHERE NOT nested)
+SELECT 'https://s' || s || '.example/' AS site, min(ord) AS ord, 'https://s' || s || '.example/' || loc AS loc FROM l WHERE ord < 9 GROUP BY s, loc""")
+def sitemap_crawl(spark, d):
+    """Pages as lines of the sitemaps of five sites: indexes that lead to each other in circles and to lists of
+    URLs, some repeated; twelve sitemaps and nine URLs a site at most."""
+    part = F.expr("page_id div 5")
+    name = lambda kind, m: F.concat(F.lit(kind), (part % m).cast("string"), F.lit(".xml"))
+    file = F.when(part % 3 == 0, name("index", 7)).when(part % 3 == 1, "sitemap.xml").otherwise(name("part", 11))
+    loc = F.when(part % 3 == 0, F.when(part % 2 == 0, name("index", 5)).otherwise(name("part", 13))).when(part % 3 == 1, name("index", 4)).otherwise(F.concat(F.lit("p/"), F.expr("page_id div 2").cast("string")))
+    host = F.concat(F.lit("https://s"), (F.col("page_id") % 5).cast("string"), F.lit(".example/"))
+    rows = table(spark, d, "pages").select(host.alias("site"), F.concat(host, file).alias("url"), F.struct("page_id", F.concat(F.lit("<loc>"), F.when(part % 2 == 0, host).otherwise(""), loc, F.lit("</loc>")).alias("x")).alias("line"), (part % 3 == 2).alias("list"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda r: r["x"]), "\n")
+    files = rows.groupBy("url", "list").agg(lines.alias("lines"))
+    body = F.concat(F.when(F.col("list"), "<urlset>").otherwise("<sitemapindex>"), "lines")
+    robots = rows.select("site").distinct().select(F.concat("site", F.lit("robots.txt")).alias("url"), F.concat(F.lit("User-agent: *\nSitemap: /index1.xml\nsitemap: https://other.example/x.xml\n")).alias("body"))
+    return sitemaps.crawl(files.select("url", body.alias("body")).unionByName(robots), rows.select("site"), 12, 9)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS job, epoch_us(ts) AS at_us, CASE event_type WHEN 'signup' THEN 'queue' WHEN 'click' THEN 'start' WHEN 'view' THEN 'progress' WHEN 'purchase' THEN 'source_ok' WHEN 'error' THEN 'source_failed' END AS kind,
+  CASE WHEN event_type = 'signup' THEN 6 ELSE value END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT job, 0::BIGINT AS i, NULL::BIGINT AS at_us, NULL::VARCHAR AS status, 0 AS done, 0 AS failed, 0::DOUBLE AS percent, NULL::BIGINT AS progress_at, 0 AS refused, NULL::VARCHAR AS why FROM e WHERE i = 1
+ UNION ALL SELECT s.job, e.i, e.at_us,
+  CASE WHEN kind = 'queue' AND status IS NULL THEN 'queued' WHEN kind = 'start' AND status = 'queued' THEN 'running' WHEN status = 'running' AND kind LIKE 'source%' AND done = 5 THEN CASE WHEN failed > 0 OR kind = 'source_failed' THEN 'partial' ELSE 'completed' END ELSE status END,
+  done + (coalesce(status, '') = 'running' AND kind LIKE 'source%')::INT, failed + (coalesce(status, '') = 'running' AND kind = 'source_failed')::INT,
+  CASE WHEN coalesce(status, '') <> 'running' THEN percent WHEN kind = 'progress' THEN value WHEN kind LIKE 'source%' THEN 100 ELSE percent END,
+  CASE WHEN coalesce(status, '') <> 'running' THEN progress_at WHEN kind = 'progress' AND (progress_at IS NULL OR e.at_us - progress_at > 36000000000) THEN e.at_us WHEN kind LIKE 'source%' THEN NULL ELSE progress_at END,
+  refused + CASE WHEN kind = 'queue' THEN status IS NOT NULL WHEN kind = 'start' THEN coalesce(status, '') <> 'queued' ELSE coalesce(status, '') <> 'running' END::INT,
+  CASE WHEN kind = 'queue' AND status IS NULL THEN 'queued' WHEN kind = 'start' AND status = 'queued' THEN 'started' WHEN coalesce(status, '') <> 'running' THEN NULL WHEN kind = 'progress' THEN CASE WHEN progress_at IS NULL OR e.at_us - progress_at > 36000000000 THEN 'progress' END
+   WHEN kind LIKE 'source%' THEN CASE WHEN done = 5 THEN 'ended' ELSE 'source' END END
+ FROM s JOIN e ON e.job = s.job AND e.i = s.i + 1)
+SELECT job, at_us, status, done, failed, percent, refused, why FROM s WHERE why IS NOT NULL""")
+def job_lifecycle(spark, d):
+    """Events as a stream of what happens to jobs, a job a user: the rows that are persisted, progress at most
+    every ten hours."""
+    from ..sources.work import work_path
+    from ..streaming.jobs import run_to_table
+    from ..streaming.lifecycle import job_stream
+
+    kinds = {"signup": "queue", "click": "start", "view": "progress", "purchase": "source_ok", "error": "source_failed"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()])
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = source.select(F.col("user_id").alias("job"), at.alias("at"), kind.alias("kind"), F.when(F.col("event_type") == "signup", 6.0).otherwise(F.col("value")).alias("value"))
+    base = work_path(spark, "lifecycle")
+    run_to_table(job_stream(events, every=36_000), f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").withColumnRenamed("at", "at_us")
