@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import urls
-from ..operators import batch, collect, enrich, merge, store
+from ..functions import listing, urls
+from ..operators import batch, collect, enrich, export, merge, store
 from ..sources import sitemaps
 from ..sources.tables import table
 from . import listings  # noqa: F401
-from .queries import _ORIGIN, _TITLE, QUERIES, SQL, _title, _x, query
+from .queries import _EMAIL, _ISSUES, _ORIGIN, _PHONE, _PHONE_OK, _TITLE, QUERIES, SQL, _platform, _title, _x, query
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -179,3 +179,98 @@ def job_lifecycle(spark, d):
     base = work_path(spark, "lifecycle")
     run_to_table(job_stream(events, every=36_000), f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
     return spark.read.parquet(f"{base}/out").withColumnRenamed("at", "at_us")
+
+
+_EXPORT = _ISSUES + """,
+x AS (SELECT i.source, i.doc_id, i.pics, i.issues, d.lang, 'https://' || i.source || '/' || i.doc_id % 40 AS url, p.address, p.price, p.title FROM i JOIN documents d ON d.doc_id = i.doc_id JOIN p ON p.doc_id = i.doc_id),
+l AS (SELECT source, arg_max(lang, doc_id) AS lang FROM x GROUP BY source),
+b AS (SELECT x.* FROM x JOIN l USING (source, lang)),
+m AS (SELECT * FROM b WHERE length(source) % 3 <> 0),
+r AS (SELECT source, url, min(doc_id) AS position, arg_max({'pics': pics::INT, 'address': address, 'price': price, 'title': title}, doc_id) AS v FROM m WHERE len(issues) = 0 GROUP BY source, url)"""
+
+
+def _exported(spark, d):
+    """(sources, latest batches, recipes, gated rows, ready rows): documents as listings, a batch a language; sources
+    with names of some lengths have no recipe, and one that is configured has nothing."""
+    rows = _platform(spark, d).withColumn("sourceUrl", F.concat(F.lit("https://"), "source", F.lit("/"), (F.col("doc_id") % 40).cast("string"))).withColumn("salesPlatform", F.col("source"))
+    rows = rows.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").withColumnRenamed("source", "source_url").withColumnRenamed("doc_id", "position")
+    last = store.latest_batch(rows, "source_url", "lang", "position")
+    batches = last.groupBy("source_url").agg(F.max("lang").alias("job"), F.max("position").alias("saved_at"), F.count(F.lit(1)).alias("raw_count"))
+    sources = rows.select("source_url").unionByName(spark.range(1).select(F.lit("none.example").alias("source_url"))).distinct().withColumn("host", F.col("source_url"))
+    recipes = sources.where("length(host) % 3 <> 0 or host = 'none.example'").select("host")
+    gate = export.gated(last.join(recipes, F.col("source_url") == F.col("host"), "left_semi"))
+    return sources, batches, recipes, gate, export.ready_rows(gate, "source_url")
+
+
+@query(_EXPORT + """,
+g AS (SELECT source, count(*) FILTER (WHERE len(issues) > 0) AS blocked FROM m GROUP BY source),
+s AS (SELECT source, count(*) AS ready, sum(v.pics)::BIGINT AS total, round(avg(v.pics), 1) AS average, max(v.pics)::BIGINT AS most FROM r GROUP BY source),
+w AS (SELECT source, string_agg(issue || ':' || n, ',' ORDER BY issue) AS why FROM (SELECT source, issue, count(*) AS n FROM (SELECT source, unnest(issues) AS issue FROM m WHERE len(issues) > 0) GROUP BY source, issue) GROUP BY source),
+c AS (SELECT source, count(*) AS raw FROM b GROUP BY source),
+a AS (SELECT DISTINCT source FROM documents UNION SELECT 'none.example'),
+t AS (SELECT source AS source_url, coalesce(raw, 0) AS raw_count, CASE WHEN raw IS NULL THEN 'No usable raw listings were recovered from the live source.' WHEN length(source) % 3 = 0 THEN 'No reviewed mapping recipe is available.' END AS reason,
+  coalesce(ready, 0) AS ready_count, CASE WHEN raw IS NULL THEN 0 WHEN length(source) % 3 = 0 THEN raw ELSE blocked END AS blocked_count, coalesce(total, 0) AS total_images, coalesce(average, 0) AS average_images, coalesce(most, 0) AS maximum_images, why
+  FROM a LEFT JOIN c USING (source) LEFT JOIN g USING (source) LEFT JOIN s USING (source) LEFT JOIN w USING (source))
+SELECT *, CASE WHEN reason IS NOT NULL THEN 'blocked' WHEN blocked_count = 0 THEN 'ready' WHEN ready_count > 0 THEN 'partial' ELSE 'blocked' END AS status FROM t""")
+def export_sources(spark, d):
+    sources, batches, recipes, gate, ready = _exported(spark, d)
+    report = export.source_report(sources, batches, recipes, gate, ready)
+    why = F.array_join(F.transform("blocked_reasons", lambda r: F.concat_ws(":", r["issue"], r["count"].cast("string"))), ",")
+    return report.select("source_url", "status", "reason", "raw_count", "ready_count", "blocked_count", "total_images", "average_images", "maximum_images", F.nullif(why, F.lit("")).alias("why"))
+
+
+_COMBINED = _EXPORT + """,
+k AS (SELECT lower(source || '|' || coalesce(v.address, 'null') || '|' || v.price::BIGINT) AS key, source, position, url, v FROM r),
+q AS (SELECT min({'source': source, 'position': position}) AS place, arg_max({'url': url, 'v': v, 'source': source}, {'source': source, 'position': position}) AS x FROM k GROUP BY key)"""
+
+
+@query(_COMBINED + " SELECT place.source AS first_source, place.position AS first_position, x.source AS \"salesPlatform\", x.url AS url, x.v.title AS title, x.v.address AS address, x.v.price AS price, x.v.pics::BIGINT AS n_images, false AS \"isPaid\", NULL::VARCHAR AS landmark FROM q")
+def export_combined(spark, d):
+    *_, ready = _exported(spark, d)
+    combined = export.combined_rows(ready, F.struct("source_url", "position"))
+    rows = export.import_payload(combined.withColumn("isPaid", F.lit(False)), ("place", "sourceUrl"))
+    return rows.select(F.col("place.source_url").alias("first_source"), F.col("place.position").alias("first_position"), "salesPlatform", F.col("sourceUrl").alias("url"), "title", "address", "price", F.size("images").cast("long").alias("n_images"), "isPaid", "landmark")
+
+
+@query(_COMBINED + """ SELECT (SELECT count(DISTINCT source) + 1 FROM documents) AS sources_requested, (SELECT count(DISTINCT source) FROM r) AS sources_with_ready_data, (SELECT count(*) FROM b) AS raw_records_assessed,
+ (SELECT count(*) FROM b WHERE len(issues) > 0 OR length(source) % 3 = 0) AS blocked_records, (SELECT count(*) FROM q) AS porting_ready_records, (SELECT sum(x.v.pics)::BIGINT FROM q) AS images""")
+def export_totals(spark, d):
+    sources, batches, recipes, gate, ready = _exported(spark, d)
+    return export.export_totals(export.source_report(sources, batches, recipes, gate, ready), export.combined_rows(ready, F.struct("source_url", "position")))
+
+
+@query(rf"""
+WITH c AS (SELECT source, doc_id, lower(nullif(regexp_extract(text, '{_EMAIL}', 1), '')) AS email, CASE WHEN {_PHONE_OK} THEN regexp_replace(trim(regexp_extract(text, '{_PHONE}', 1)), '\s+', ' ', 'g') END AS phone, lang FROM documents),
+v AS (SELECT source, 'email' AS f, email AS x, doc_id FROM c UNION ALL SELECT source, 'phone', phone, doc_id FROM c UNION ALL SELECT source, 'name', lang, doc_id FROM c),
+g AS (SELECT source, f, x, min(doc_id) AS at_doc FROM v WHERE x <> '' GROUP BY source, f, x)
+SELECT source, coalesce(string_agg(x, ',' ORDER BY at_doc) FILTER (WHERE f = 'name'), '') AS names, coalesce(string_agg(x, ',' ORDER BY at_doc) FILTER (WHERE f = 'email'), '') AS emails, coalesce(string_agg(x, ',' ORDER BY at_doc) FILTER (WHERE f = 'phone'), '') AS phones FROM g GROUP BY source""")
+def export_contacts(spark, d):
+    one = lambda c: F.when(c.isNotNull(), F.array(c))
+    contact = F.struct(one(F.col("lang")).alias("names"), one(listing.clean_email(F.col("text"))).alias("emails"), one(listing.clean_phone(F.col("text"))).alias("phones"))
+    rows = export.contacts_by(table(spark, d, "documents").select("source", F.col("doc_id").alias("position"), contact.alias("contact")), "source")
+    return rows.select("source", *[F.array_join(c, ",").alias(c) for c in ("names", "emails", "phones")])
+
+
+@query(rf"""
+WITH r AS (SELECT lang, d.doc_id, string_split(text, chr(10))[1] AS title, CASE WHEN n_chars > 500 THEN source END AS address, regexp_matches(text, '{_EMAIL}') AS email, quality, toxic, d.doc_id % 3 AS pics FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+s AS (SELECT lang, source, count(*) AS expected, min(n_chars) < 20 AS failed, max(n_chars) > 5000 AS complete FROM documents GROUP BY lang, source),
+t AS (SELECT lang, CASE WHEN bool_or(failed) THEN 'partial' WHEN NOT bool_and(complete) THEN 'incomplete' ELSE 'complete' END AS status, sum(expected)::BIGINT AS expected_reported, count(*) FILTER (WHERE failed) AS scopes_failed, count(*) FILTER (WHERE NOT complete) AS scopes_incomplete FROM s GROUP BY lang),
+n AS (SELECT lang, count(*) AS unique_listings, count(*) FILTER (WHERE title <> '') AS titles, count(address) AS addresses, count(*) FILTER (WHERE email) AS with_email, count(*) FILTER (WHERE quality = 0) AS needs_review,
+  count(*) FILTER (WHERE quality = 1) AS import_ready, count(*) FILTER (WHERE quality = 0) AS blocked, count(*) FILTER (WHERE quality IS NOT NULL AND pics > 0) AS with_images, count(*) FILTER (WHERE quality IS NOT NULL AND pics = 0) AS without_images,
+  coalesce(sum(pics) FILTER (WHERE quality IS NOT NULL), 0)::BIGINT AS total_images, round(avg(pics) FILTER (WHERE quality IS NOT NULL), 1) AS average_images FROM r GROUP BY lang)
+SELECT lang, status, expected_reported, scopes_failed, scopes_incomplete, unique_listings, 'title:' || titles || ':' || round(titles * 100 / unique_listings, 1) || ',address:' || addresses || ':' || round(addresses * 100 / unique_listings, 1) AS coverage,
+ with_email AS with_any_contact, with_email, 0::BIGINT AS with_phone, needs_review, import_ready, blocked AS blocked_from_import, with_images, without_images, total_images, average_images FROM n JOIN t USING (lang)""")
+def run_report_full(spark, d):
+    """A run for each language: documents as its records, labels as mapped rows, sources as its scopes."""
+    docs = table(spark, d, "documents")
+    rows = docs.join(table(spark, d, "labels"), "doc_id", "left")
+    pictures = F.when(F.col("doc_id") % 3 > 0, F.array_repeat(F.lit("u"), (F.col("doc_id") % 3).cast("int")))
+    mapped = F.when(F.col("quality").isNotNull(), F.struct(pictures.alias("images"), (F.col("quality") == 1).alias("ready"), (F.col("quality") == 0).alias("review")))
+    none = F.lit(None).cast("array<string>")
+    emails = F.when(listing.clean_email(F.col("text")).isNotNull(), F.array(F.lit("x")))
+    source = F.struct(F.when(F.col("n_chars") > 500, F.col("source")).alias("address"))
+    records = rows.select("lang", F.element_at(F.split("text", "\n"), 1).alias("title"), F.lit("own").alias("address"), source.alias("_source"), F.struct(emails.alias("emails"), none.alias("phones")).alias("contact"), F.array(F.lit("raw")).alias("images"), mapped.alias("platform"))
+    scopes = docs.groupBy("lang", "source").agg(F.when(F.min("n_chars") < 20, "failed").otherwise("complete").alias("status"), (F.max("n_chars") > 5000).alias("complete"), F.count(F.lit(1)).alias("expected"))
+    report = export.run_report(records, scopes, ["lang"], ["title", "address"])
+    coverage = F.array_join(F.transform("field_coverage", lambda c: F.concat_ws(":", c["field"], c["count"].cast("string"), c["percent"].cast("string"))), ",")
+    return report.select("lang", "status", "expected_reported", "scopes_failed", "scopes_incomplete", "unique_listings", coverage.alias("coverage"), "with_any_contact", "with_email", "with_phone", "needs_review", "import_ready", "blocked_from_import", "with_images", "without_images", "total_images", "average_images")
