@@ -20,7 +20,7 @@ from ..functions.text import blank
 from . import merge, quality
 from .batch import numbered
 
-MANIFEST = "_MANIFEST.json"
+MANIFEST = "MANIFEST.json"
 
 
 def run_report(records: DataFrame, scopes: DataFrame, keys: Sequence[str], fields: Sequence[str] = quality.COVERED) -> DataFrame:

@@ -71,9 +71,10 @@ def crawl(files: DataFrame, sites: DataFrame, max_sitemaps: int = MAX_SITEMAPS,
         turn = F.row_number().over(Window.partitionBy("site").orderBy("place")) + F.coalesce("n", F.lit(0))
         new = firsts.withColumn("turn", turn.cast("long")).where(F.col("turn") <= max_sitemaps).select("site", "sitemap", "turn")
         new = written(new, "sitemap-level")
-        if new.isEmpty():
+        done, seen = new.isEmpty(), new if seen is None else seen
+        if done:
             break
-        seen = new if seen is None else written(seen.unionByName(new), "sitemaps-seen")  # max_sitemaps rows a site at most
+        seen = new if new is seen else written(seen.unionByName(new), "sitemaps-seen")  # max_sitemaps rows a site at most
         level = entries.where("nested").join(new, ["site", "sitemap"]).select("site", F.col("loc").alias("sitemap"), F.col("turn").alias("parent"), "at")
     listed = entries.where("not nested").join(seen, ["site", "sitemap"])
     # A crawl stops at max_urls, repeats counted; then each URL stays once.
