@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import listing, urls
 from ..operators import batch, collect, enrich, export, merge, store
-from ..sources import sitemaps
+from ..sources import payloads, sitemaps
 from ..sources.tables import table
 from . import listings  # noqa: F401
 from .queries import _EMAIL, _ISSUES, _ORIGIN, _PHONE, _PHONE_OK, _TITLE, QUERIES, SQL, _platform, _title, _x, query
@@ -274,3 +274,49 @@ def run_report_full(spark, d):
     report = export.run_report(records, scopes, ["lang"], ["title", "address"])
     coverage = F.array_join(F.transform("field_coverage", lambda c: F.concat_ws(":", c["field"], c["count"].cast("string"), c["percent"].cast("string"))), ",")
     return report.select("lang", "status", "expected_reported", "scopes_failed", "scopes_incomplete", "unique_listings", coverage.alias("coverage"), "with_any_contact", "with_email", "with_phone", "needs_review", "import_ready", "blocked_from_import", "with_images", "without_images", "total_images", "average_images")
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'z.list' WHEN 1 THEN 'a.b.c' WHEN 2 THEN '(root array)' WHEN 3 THEN '7.rows' END AS path, CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 1 END AS n,
+ CASE event_id % 5 WHEN 0 THEN 'null|' || p || '|5' WHEN 1 THEN p WHEN 2 THEN p || '|' || p ELSE p END AS items FROM (SELECT event_id, replace(props, ' ', '') AS p FROM events) WHERE event_id % 5 < 4""")
+def payload_arrays(spark, d):
+    """Events' properties inside payloads of five shapes: the first array whose first object has the key."""
+    p, shape_ = F.col("props"), F.col("event_id") % 5
+    build = lambda *bits: F.concat(*[F.lit(b) if isinstance(b, str) else b for b in bits])
+    body = (
+        F.when(shape_ == 0, build(")]}',", '{"z":{"list":[null,', p, ',5]},"a":{"meta":[1,{"x":2}],"k":[],"t":"[', F.lit(""), ']"}}'))
+        .when(shape_ == 1, build('{"q":[{"other":[', p, ']}],"a":{"b":{"c":[', p, ']}},"y":[', p, ",", p, "]}")).when(shape_ == 2, build("[", p, ",", p, "]"))
+        .when(shape_ == 3, build('{"b":{"rows":[', p, ",", p, ']},"7":{"rows":[', p, "]}}")).otherwise(build('{"k":', p, ',"broken"'))
+    )
+    found = payloads.array_with_keys(table(spark, d, "events").select("event_id", body.alias("body")), "event_id", ["k"])
+    return found.select("event_id", "path", "n", F.array_join(F.transform("items", lambda x: F.coalesce(x, F.lit("null"))), "|").alias("items"))
+
+
+@query("""
+WITH c AS (SELECT user_id AS page, event_id // 500 AS candidate, event_id AS ord, event_id % 37 AS id, event_type FROM events),
+s AS (SELECT page, candidate, arg_min(event_type, ord) IN ('click', 'view') AS wide, max(ord % 4) AS score FROM c GROUP BY page, candidate),
+k AS (SELECT page, wide, id, min(ord) AS ord, max(score) AS score FROM c JOIN s USING (page, candidate) GROUP BY page, wide, id),
+g AS (SELECT page, wide, max(score) AS score, count(*) AS n, min(ord) AS first FROM k GROUP BY page, wide),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY page ORDER BY score DESC, n DESC, first) = 1)
+SELECT page, CASE WHEN wide THEN 'id|kind' ELSE 'id' END AS signature, b.score, n, ord // 500 AS candidate, ord, id FROM k JOIN b USING (page, wide)""")
+def payload_groups(spark, d):
+    """Events as records of batches, 500 ids a batch of each user: a batch is told by its first record."""
+    batch_of = F.expr("event_id div 500")
+    wide = F.col("event_type").isin("click", "view")
+    raw = F.when(wide, F.to_json(F.struct(F.col("event_type").alias("kind"), (F.col("event_id") % 37).alias("id")))).otherwise(F.to_json(F.struct((F.col("event_id") % 37).alias("id"))))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("page"), batch_of.alias("candidate"), F.col("event_id").alias("ord"), raw.alias("raw"), (F.col("event_id") % 4).alias("score"))
+    best = payloads.schema_groups(rows)
+    return best.select("page", "signature", "score", "n", "candidate", "ord", F.get_json_object("raw", "$.id").cast("long").alias("id"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g')[1:12000] AS t FROM documents),
+i AS (SELECT doc_id, t, '{"currentNormalized":{"id": ' || doc_id || '},"sourceRecord":{"description": "' || t || '", "parts": ["' || t || '", "' || t || '", "' || t || '", "' || t || '"]}}' AS whole FROM w)
+SELECT doc_id, length(whole) > 45000 AS cut, md5(CASE WHEN length(whole) <= 45000 THEN whole ELSE '{"currentNormalized":{"id": ' || doc_id || '},"sourceRecord":{"description":"' || t[1:8000] || '"},"warning":"Source record was truncated before being sent to the model."}' END) AS input_md5 FROM i""")
+def model_inputs(spark, d):
+    """Documents, their letters alone, as records that a model is sent: on both sides of the limit."""
+    t = F.regexp_replace("text", "[^A-Za-z ]", "")
+    rows = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    record = F.to_json(F.struct(F.col("t").alias("description"), F.array("t", "t", "t", "t").alias("parts"), F.lit("x@y.example").alias("agentEmail")))
+    rows = rows.select("doc_id", payloads.model_input(F.to_json(F.struct(F.col("doc_id").alias("id"))), record).alias("input"))
+    return rows.select("doc_id", F.col("input").contains("was truncated").alias("cut"), F.md5("input").alias("input_md5"))
