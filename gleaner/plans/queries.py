@@ -6,16 +6,15 @@ free-text listings, pages are sites, orders are runs, events are saved batches a
 
 from __future__ import annotations
 
-import json
 import tempfile
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import listing, numbers, text, urls
-from ..operators import merge, quality, recipes, responses, store
-from ..sources import html, json_shapes
-from ..sources.tables import sitemap_urls, table
+from ..operators import merge, quality, recipes, store
+from ..sources import json_shapes
+from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
 
@@ -418,74 +417,13 @@ def stream_page_dedupe(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
-# --- Operators that no driver table has input for: fixed fixtures, rows only ------------------------
-
-_SITEMAPS = [
-    ("https://a.example/robots.txt", "User-agent: *\nSitemap: https://a.example/index.xml\nSitemap: https://b.example/x.xml", "robots"),
-    ("https://a.example/index.xml", "<loc>https://a.example/map.xml</loc>", "index"),
-    ("https://a.example/map.xml", "<loc><![CDATA[https://a.example/property/1?a=1&amp;b=2]]></loc><loc> https://a.example/search/ </loc><loc>https://c.example/</loc>", "urlset"),
-]
-_PAGE = """<html><head><title>Homes</title><meta property="og:title" content="2 bedroom flat for sale"><link rel="canonical" href="https://a.example/p">
-<script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"Agency"},{"@type":"House","name":"Elm","offers":[{"price":250000,"priceCurrency":"GBP"}],"address":{"streetAddress":"1 Elm Road","postalCode":"YO1 1AA"},"numberOfRooms":3,"image":["https://a.example/1.jpg"]}]}</script>
-<script>window.__INITIAL_STATE__ = {"list":[{"id":1,"price":"£1,250 pcm","bedrooms":2,"address":"x}"}]};</script></head><body>
-<div itemscope itemtype="https://schema.org/Apartment"><span itemprop="name">Oak</span><span itemprop="price" content="99">99</span></div>
-<ul><li class="card b"><h3>Elm</h3><a href="/property/elm-1">£250,000</a> 3 bed house, Elm Road YO1 1AA</li><li class="b card"><h3>Oak</h3><a href="/property/oak-2">£180,000</a> 2 bed flat, Oak Road</li></ul>
-<div class="gallery"><img src="/a.jpg"><img data-src="/b.jpg" srcset="/b2.jpg 2x"></div><a href="mailto:a@b.example?subject=x">m</a><a href="tel:+44 1904 123456">t</a><a rel="next" href="?page=2">Next</a>
-<select name="location"><option value="york">York</option></select><p><b>unclosed"""
-
-
-@query()
-def sitemap_locs(spark, d):
-    return sitemap_urls(spark.createDataFrame(_SITEMAPS, "url string, body string, kind string"))
-
-
-@query()
-def page_records(spark, d):
-    """Embedded state, JSON-LD, microdata, cards, gallery, contacts, links: all page extractors."""
-    return html.extract(spark.createDataFrame([(1, _PAGE), (2, ""), (3, None)], "page_id long, html string"))
-
-
-@query()
-def strategy_cascade(spark, d):
-    return html.first_strategy(page_records(spark, d))
-
-
-@query()
-def page_extract(spark, d):
-    """The same extractors over all driver pages: numbers of each kind a page."""
-    return html.extract(table(spark, d, "pages")).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def repeated_selectors(spark, d):
-    return html.repeated_selectors(table(spark, d, "pages"))
-
-
-@query()
-def payload_candidates(spark, d):
-    bodies = [(1, ")]}',\n" + json.dumps({"data": {"items": [{"id": 1, "price": 5, "beds": 2, "address": "x"}, {"id": 2, "price": 6, "beds": 1, "address": "y"}]}})), (2, "{broken"), (3, "[]")]
-    return json_shapes.candidates(spark.createDataFrame(bodies, "payload_id long, body string"), "payload_id", "body")
-
-
-@query()
-def model_response_validate(spark, d):
-    answers = [("a", '```json\n{"data":{"title":" Elm ","price":"£1,250.50","currency":"gbp","purpose":"To Let","images":["u",""]},"confidence":2}\n```'), ("b", 'Sure: {"title":"Oak","currency":"pounds","confidence":-1} done'), ("c", "no idea")]
-    records = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "record_key string")
-    return responses.validate(records, spark.createDataFrame(answers, "record_key string, content string"))
-
-
-@query()
+@query(rf"""
+SELECT conv_id, turn, '{{"role": ' || to_json(role) || ', "text": ' || to_json(regexp_replace(regexp_replace(text, '{_EMAIL}', '[email]', 'g'), '{_PHONE}', '[phone]', 'g')[1:12000]) || '}}' AS redacted FROM conversations""")
 def redact_record(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "text", F.lit("a@b.example").alias("agent_email"))).alias("raw"))
     return rows.select("conv_id", "turn", json_shapes.redact(F.col("raw")).alias("redacted"))
 
 
-@query()
-def record_contacts(spark, d):
-    rows = spark.createDataFrame([(1, '{"agent":{"name":"Ann Lee","phone":"01904 123456","id":"1234567"},"email":"mailto:A@B.example"}'), (2, None)], "id long, raw string")
-    return rows.select("id", json_shapes.public_contacts(F.col("raw")).alias("c")).select("id", "c.*")
-
-
 @query()
 def sanitised_platform(spark, d):
     rows = _platform(spark, d).withColumn("floorPlan", F.array(F.lit("https://x.example/floor-plan/1.png")))

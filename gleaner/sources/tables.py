@@ -1,4 +1,4 @@
-"""Sources and sinks: parquet tables, sitemaps, captured payloads, recipe and listing files."""
+"""Sources and sinks: parquet tables, captured payloads, recipe and listing files."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls
-
 RETRY_STATUS = [408, 425, 429, 500, 502, 503, 504]
 MAX_CAPTURE = 4_000_000
 
@@ -28,26 +26,6 @@ def captured_json(payloads: DataFrame) -> DataFrame:
     return kept.withColumn("body", body).where(F.try_parse_json("body").isNotNull())
 
 
-def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
-    """(url, loc, kind, ord) of every <loc> and every Sitemap: line of the same origin."""
-    xml = F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>"), F.lit(1)), lambda u: F.regexp_replace(u, "(?i)&amp;", "&"))
-    robots = F.regexp_extract_all("body", F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))
-    found = F.when(F.col("kind") == "robots", robots).otherwise(xml)
-    return sitemaps.select("url", "kind", F.posexplode(found).alias("ord", "loc")).where(urls.same_origin(F.col("url"), F.col("loc")))
-
-
-def crawl_sitemaps(sitemaps: DataFrame, depth: int = 5) -> DataFrame:
-    """Pages that the indexes lead to, level by level; a sitemap is read once. ``depth`` bounds the
-    levels, since the table may lead in circles."""
-    entries = sitemap_urls(sitemaps)
-    level = entries.where("kind in ('robots', 'index')").select(F.col("loc").alias("url")).distinct()
-    seen = level
-    for _ in range(depth):
-        level = entries.where("kind = 'index'").join(level, "url", "left_semi").select(F.col("loc").alias("url")).distinct()
-        seen = seen.unionByName(level).distinct()
-    return entries.where("kind = 'urlset'").join(seen, "url", "left_semi").select("loc").distinct()
-
-
 def read_listing_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file, ord, raw) of every *-listings.json: a JSON array each."""
     whole = spark.read.option("wholetext", True).option("pathGlobFilter", "*-listings.json").text(folder).select(F.input_file_name().alias("file"), "value")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import MERGE_NOISE
 from gleaner.operators import merge, quality, recipes, responses, store
-from gleaner.sources import html, json_shapes
-from gleaner.sources.tables import crawl_sitemaps, read_listing_files, read_recipes, sitemap_urls
+from gleaner.sources import json_shapes
+from gleaner.sources.tables import read_listing_files, read_recipes
 
 
 def _fold(rows):
@@ -104,18 +104,6 @@ def test_recipes(spark):
     assert two.price is None and three.images is None and blocked.count() == 1
 
 
-def test_page_extractors(spark):
-    from gleaner.plans.queries import _PAGE
-
-    rows = html.extract(spark.createDataFrame([(1, _PAGE), (2, ""), (3, None), (4, "<p><b>x<li>")], "page_id long, html string")).collect()
-    kinds = {r.kind for r in rows}
-    assert {"jsonld", "jsonld_other", "embedded", "microdata", "card", "image", "email", "phone", "next_page", "place_option", "opengraph", "link"} <= kinds
-    listing = json.loads(next(r.value for r in rows if r.kind == "jsonld"))
-    assert (listing["price"], listing["address"], listing["bedrooms"]) == ("GBP250000", "1 Elm Road, YO1 1AA", 3)
-    assert [json.loads(r.value)["title"] for r in rows if r.kind == "card"] == ["Elm", "Oak"]
-    assert [r.value for r in rows if r.kind == "image"] == ["/a.jpg", "/b.jpg", "/b2.jpg"]
-
-
 def test_json_shapes(spark):
     assert json_shapes.balanced('x = {"a": "}\\"{", "b": [1]} ; {') == '{"a": "}\\"{", "b": [1]}'
     assert json_shapes.balanced("{[") is None and json_shapes.balanced("none") is None
@@ -127,9 +115,9 @@ def test_json_shapes(spark):
 
 
 def test_model_answers(spark):
-    from gleaner.plans.queries import model_response_validate
-
-    got = {r.record_key: r for r in model_response_validate(spark, "").collect()}
+    answers = [("a", '```json\n{"data":{"title":" Elm ","price":"£1,250.50","currency":"gbp","purpose":"To Let","images":["u",""]},"confidence":2}\n```'), ("b", 'Sure: {"title":"Oak","currency":"pounds","confidence":-1} done'), ("c", "no idea")]
+    records = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "record_key string")
+    got = {r.record_key: r for r in responses.validate(records, spark.createDataFrame(answers, "record_key string, content string")).collect()}
     a, b, c, d = (got[k] for k in "abcd")
     assert (a.title, a.price, a.currency, a.purpose, a.images, a.confidence, a.requires_review) == ("Elm", 1250.5, "GBP", "rent", ["u"], 1.0, False)
     assert (b.title, b.currency, b.confidence, b.warnings) == ("Oak", None, 0.0, ["invalid currency"])
@@ -147,12 +135,7 @@ def test_store(spark, tmp_path):
     assert df.where(store.matches(["t"], "X")).count() == 1 and df.where(store.matches(["t"], ".*")).count() == 0
 
 
-def test_files_and_sitemaps(spark, tmp_path):
-    from gleaner.plans.queries import _SITEMAPS
-
-    maps = spark.createDataFrame(_SITEMAPS, "url string, body string, kind string")
-    assert {r.loc for r in crawl_sitemaps(maps).collect()} == {"https://a.example/property/1?a=1&b=2", "https://a.example/search/"}
-    assert sitemap_urls(maps.limit(0)).count() == 0
+def test_files(spark, tmp_path):
     (tmp_path / "x-listings.json").write_text('[{"b":1,"a":2},{"c":3}]')
     (tmp_path / "x-listings.report.json").write_text("{}")
     assert read_listing_files(spark, str(tmp_path)).count() == 2
@@ -165,10 +148,3 @@ def test_even_sample(spark):
     df = spark.range(100).repartition(7)
     assert sorted(r.id for r in recipes.even_sample(df, ["id"]).collect()) == [0, 14, 28, 42, 57, 71, 85, 99]
     assert recipes.even_sample(df.limit(3), ["id"]).count() == 3
-
-
-def test_repeated_selectors_take_short_texts_and_no_class(spark):
-    card = "<div><p class='c'>£1,000</p></div>"
-    page = "<html><body class='all'>" + "<i>word </i>" * 2000 + card * 3 + "<p class='c'>1,000 pcm</p></body></html>"
-    got = html.repeated_selectors(spark.createDataFrame([(1, page), (2, "")], "page_id long, html string")).collect()
-    assert sorted(map(tuple, got)) == [(1, "div.", 3), (1, "p.c", 3)]
