@@ -191,3 +191,33 @@ def clean_images(urls: Column) -> Column:
     none = F.array().cast("array<struct<key:string,score:bigint,url:string>>")
     best = F.transform(F.aggregate(F.transform(good, keyed), none, step), lambda c: c["url"])
     return F.when(F.size(best) > 0, best)
+
+
+# Path steps that name no place on sites of one search engine.
+_SEARCH_STEPS = ["properties", "property", "sales", "lettings", "list", "map"]
+
+
+def search_endpoint(url: Column, page: Column) -> Column:
+    """Where such a site's own search gives ``page`` of a listing page as JSON: the path's steps that name a place
+    and the page as a fragment, the query's other keys as they are, sales unless the path says lettings."""
+
+    def told(u: Column) -> Column:
+        steps = F.filter(F.split(path(u), "/"), lambda s: s != "")
+        channel = F.when(F.array_contains(steps, "lettings"), "lettings").otherwise("sales")
+        places = F.filter(steps, lambda s: ~s.isin(_SEARCH_STEPS))
+        first = F.array_position(F.transform(places, lambda s: s.rlike(r"^page-\d+$")), True).cast("int")
+        places = F.when(first > 0, F.concat(F.slice(places, 1, F.greatest(first - 1, F.lit(0))), F.slice(places, first + 1, F.size(places)))).otherwise(places)
+        kept = F.filter(F.split(query(u), "&"), lambda p: (p != "") & ~F.element_at(F.split(p, "="), 1).isin("page", "fragment", "channel"))
+        fragment = F.url_encode(F.array_join(F.concat(places, F.array(F.concat(F.lit("page-"), page.cast("string")))), "/"))
+        return F.concat(origin(u), F.lit("/search.ljson?"), F.array_join(F.concat(kept, F.array(F.concat(F.lit("channel="), channel), F.concat(F.lit("fragment="), fragment))), "&"))
+
+    return F.when(is_absolute(url), _with(url, told))
+
+
+def search_cursor(body: Column) -> Column:
+    """struct<page, has_next, total> of such a search's answer; null for other JSON: it needs a list of properties and a
+    numbered page."""
+    v = F.try_parse_json(F.regexp_replace(body, r"^\)\]\}',?\s*", ""))
+    at = lambda name, kind: F.try_variant_get(v, f"$.pagination.{name}", kind)
+    fit = F.schema_of_variant(F.try_variant_get(v, "$.properties", "variant")).startswith("ARRAY") & at("current_page", "double").isNotNull()
+    return F.when(fit, F.struct(at("current_page", "int").alias("page"), F.coalesce(at("has_next_page", "boolean"), F.lit(False)).alias("has_next"), F.nullif(at("total_count", "long"), F.lit(0)).alias("total")))

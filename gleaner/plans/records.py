@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import listing, urls
-from ..operators import batch, collect, enrich, export, merge, store
+from ..operators import batch, collect, enrich, export, jobs, merge, recovery, store
+from ..operators.normalise import normalise_records
 from ..sources import payloads, sitemaps
 from ..sources.tables import table
 from . import listings  # noqa: F401
@@ -320,3 +321,44 @@ def model_inputs(spark, d):
     record = F.to_json(F.struct(F.col("t").alias("description"), F.array("t", "t", "t", "t").alias("parts"), F.lit("x@y.example").alias("agentEmail")))
     rows = rows.select("doc_id", payloads.model_input(F.to_json(F.struct(F.col("doc_id").alias("id"))), record).alias("input"))
     return rows.select("doc_id", F.col("input").contains("was truncated").alias("cut"), F.md5("input").alias("input_md5"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 4 AS k, p_partkey % 3 = 0 AS sure, p_partkey % 11 = 0 AS failed, p_name, p_type, p_retailprice, p_brand FROM part)
+SELECT p_partkey, CASE WHEN k = 1 THEN 'Mapped ' || p_partkey ELSE p_name END AS title, CASE WHEN k = 2 THEN 'unknown' ELSE 'rent' END AS purpose, CASE WHEN k = 3 THEN 5.0 ELSE p_retailprice END AS price, p_type AS "typeOfProperty",
+ CASE WHEN k = 1 THEN 'A description of the mapped row' END AS description, array_to_string(list_filter([CASE WHEN k <> 1 THEN 'title' END, CASE WHEN k <> 2 THEN 'purpose' END, 'location', 'address', 'typeOfProperty', 'currency', CASE WHEN k <> 3 THEN 'price' END, 'amount', 'images'], lambda x: x IS NOT NULL), ',') AS recovered,
+ array_to_string(list_filter([CASE WHEN k = 2 THEN 'purpose' END, CASE WHEN k <> 1 THEN 'description' END], lambda x: x IS NOT NULL), ',') AS critical, 1 AS image_count, k = 1 AND sure AND NOT failed AS publish_ready, NOT (k = 1 AND sure AND NOT failed) AS requires_review, 'homes.co.uk' AS "salesPlatform" FROM p""")
+def platform_recovery(spark, d):
+    """Parts as listings with mapped rows that lack fields: recovered, cleaned and gated in one pass."""
+    k, n = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    raw = F.to_json(F.struct(F.col("p_name").alias("displayAddress"), F.col("p_type").alias("property_type"), F.col("p_retailprice").alias("price"), F.array("p_brand").alias("photos"), F.concat(F.lit("/p/"), n).alias("url")))
+    mapped = F.struct(
+        F.when(k == 1, F.concat(F.lit("<b>Mapped</b>  "), n)).otherwise("").alias("title"), F.when(k == 2, "unknown").alias("purpose"), F.when(k == 3, 5.0).alias("price"), F.when(k == 1, "A description of the mapped row").alias("description"),
+        F.when(F.col("p_partkey") % 11 == 0, "failed").otherwise("normalized").alias("status"), F.when(F.col("p_partkey") % 3 == 0, 0.8).otherwise(0.79).alias("confidence"),
+    )
+    rows = table(spark, d, "part").select("p_partkey", raw.alias("raw"), F.lit("https://www.homes.co.uk/lettings/").alias("site_url"), mapped.alias("platform"))
+    out = recovery.recover_platform(normalise_records(rows, keep_record=True), keys=["p_partkey"])
+    told = "_normalization."
+    return out.select("p_partkey", "title", "purpose", "price", "typeOfProperty", "description", F.array_join(told + "recoveredFields", ",").alias("recovered"), F.array_join(told + "criticalMissing", ",").alias("critical"), F.col(told + "imageCount").alias("image_count"), F.col(told + "publishReady").alias("publish_ready"), F.col(told + "requiresReview").alias("requires_review"), "salesPlatform")
+
+
+@query("""
+WITH o AS (SELECT o_custkey, list({'status': o_orderstatus, 'price': o_totalprice} ORDER BY o_orderkey) AS r, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY o_custkey)
+SELECT o_custkey AS id, len(r)::INT AS total, list_sum([round(x.price)::BIGINT FOR x IN r])::BIGINT AS records, len([x FOR x IN r IF x.status = 'F'])::BIGINT AS "withEmail", 0::BIGINT AS "withPhone",
+ strftime(a, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS started, greatest(1, (epoch_ms(b) - epoch_ms(a)) // 60000)::BIGINT AS minutes, '£' || format('{:,}', floor(r[1].price + 0.5)::BIGINT) AS price FROM o""")
+def job_projections(spark, d):
+    """Customers as jobs with their orders as results: totals, times and prices as they are shown."""
+    result = F.struct(F.round("o_totalprice").cast("long").alias("count"), F.struct(F.when(F.col("o_orderstatus") == "F", 1).alias("withEmail"), F.lit(None).cast("int").alias("withPhone")).alias("contactCoverage"), F.lit("file").alias("files"), F.col("o_totalprice").alias("price"))
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", result.alias("r")))).alias("r"), F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    rows = rows.withColumns({"results": F.transform("r", lambda x: x["r"]), "urls": F.transform("r", lambda x: x["o_orderkey"].cast("string")), "status": F.lit("completed")})
+    shown = jobs.public_jobs(rows).select("id", "total").join(jobs.job_totals(rows), "id")
+    first = F.get("results", F.lit(0))["price"].cast("decimal(20,2)").cast("string")
+    times = rows.select("id", jobs.iso(F.col("a")).alias("started"), jobs.elapsed_minutes(F.col("a"), F.col("b")).alias("minutes"), jobs.shown_price(first, F.lit(None).cast("string")).alias("price"))
+    return shown.join(times, "id")
+
+
+@query("""
+WITH u AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS o, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS p, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages)
+SELECT page_id, o || '/search.ljson?' || array_to_string(list_concat(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(x, 'page=')), ['channel=sales', 'fragment=' || replace(array_to_string(list_concat(list_filter(string_split(p, '/'), lambda x: x <> ''), ['page-' || page_id % 3]), '/'), '/', '%2F')]), '&') AS endpoint FROM u""")
+def search_endpoints(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.search_endpoint(F.col("url"), F.col("page_id") % 3).alias("endpoint"))
