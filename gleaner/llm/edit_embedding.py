@@ -3,7 +3,8 @@
 A pointer walks over the characters of a text. At output step j it writes its character, then moves on
 if the shared random bit of (j, character class) is set, and stays otherwise. All texts share the bits,
 so the walks of two texts that differ by an edit meet again soon after it, and few edits leave few
-output steps that differ: edit distance becomes Hamming distance. The output is sampled at the same
+output steps that differ: edit distance becomes Hamming distance, as a rule; how long two walks stay apart
+is a matter of chance with a long tail. The output is sampled at the same
 steps for all texts, every step of the first 64 and 64 steps of each doubling of length after them,
 one from each of 64 equal strata; a sample is four bits of a hash of the character. A fingerprint holds
 the samples as hexadecimal digits, as many as its walk is long.

@@ -43,13 +43,19 @@ def text_of(draw, n):
 
 
 def test_few_edits_leave_few_steps_that_differ():
+    """In general: how far two walks go apart before they meet again is a matter of chance with a long tail."""
     draw = random.Random(2)
-    for n in (300, 3000, 30000):
-        a = text_of(draw, n)
-        b = a[:n // 3] + "X" + a[n // 3 + 1:2 * n // 3] + "YZ" + a[2 * n // 3:]
-        assert e.likeness(e.fingerprint(a), e.fingerprint(b)) > 0.8
-        assert e.likeness(e.fingerprint(a), e.fingerprint(text_of(draw, n))) < 0.4
-        assert set(e.bands(e.fingerprint(a))) & set(e.bands(e.fingerprint(b)))
+    for n, times in ((300, 40), (3000, 40), (30000, 8)):
+        like, banded, other = [], [], []
+        for _ in range(times):
+            a = text_of(draw, n)
+            b = a[:n // 3] + "X" + a[n // 3 + 1:2 * n // 3] + "YZ" + a[2 * n // 3:]
+            p, q = e.fingerprint(a), e.fingerprint(b)
+            like.append(e.likeness(p, q))
+            banded.append(not set(e.bands(p)).isdisjoint(e.bands(q)))
+            other.append(e.likeness(p, e.fingerprint(text_of(draw, n))))
+        assert sorted(like)[times // 2] > 0.95 and sum(x > 0.8 for x in like) / times >= 0.7 and min(like) > max(other)
+        assert sum(banded) / times >= 0.95 and max(other) < 0.35
 
 
 def test_likeness_is_the_share_of_steps_where_all_are_sampled():
