@@ -74,6 +74,11 @@ def import_payload(platform: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return platform.select(*keys, *[(F.col(n) if n in platform.columns else F.lit(None)).cast(t).alias(n) for n, t in kind.items()])
 
 
+def platform_only(records: DataFrame, platform: str = "platform") -> DataFrame:
+    """The platform rows of records alone, all fields null where a record has none."""
+    return records.select(f"{platform}.*")
+
+
 def gated(mapped: DataFrame, source_url: str = "sourceUrl") -> DataFrame:
     """Adds ``issues``, what stops a row from being exported, and ``ready``: nothing does."""
     return mapped.withColumn("issues", quality.export_issues(source_url)).withColumn("ready", F.size("issues") == 0)

@@ -102,6 +102,11 @@ def test_contacts_of_a_source_come_in_order_and_once(spark):
     assert got == {"s": (["A", " ", "B"], ["e"], []), None: ([], ["f"], ["1"]), "t": ([], [], [])}
 
 
+def test_platform_rows_alone(spark):
+    rows = spark.createDataFrame([(1, ("t", 2.0)), (2, None)], "n int, platform struct<title: string, price: double>")
+    assert {tuple(r) for r in export.platform_only(rows).collect()} == {("t", 2.0), (None, None)}
+
+
 def test_payload_has_all_fields(spark):
     out = export.import_payload(spark.createDataFrame([("t", 5, "x")], "title string, price int, extra string"))
     assert len(out.columns) == 33 and out.first().title == "t" and out.first().price == 5.0 and out.first().isSold is None and "extra" not in out.columns
