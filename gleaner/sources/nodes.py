@@ -117,8 +117,15 @@ def classes() -> Column:
     return F.split(F.trim(F.coalesce(attr("class"), F.lit(""))), r"\s+")
 
 
+#: Places in a block, by which elements meet what is inside them.
+BLOCK = 64
+
+
 def inside(outer: DataFrame, inner: DataFrame, key: str, itself: bool = False) -> DataFrame:
-    """Pairs of an element of ``outer`` (key, ord, last and more, renamed to o_*) and one of ``inner`` within it."""
-    told = outer.select(*[F.col(c).alias(f"o_{c}") for c in outer.columns])
+    """Pairs of an element of ``outer`` (key, ord, last and more, renamed to o_*) and one of ``inner`` within it. They
+    meet by block of places, so an element is compared with what is near it and not with its whole page."""
+    told = outer.select(*[F.col(c).alias(f"o_{c}") for c in outer.columns], F.explode(F.sequence(F.expr(f"ord div {BLOCK}"), F.expr(f"last div {BLOCK}"))).alias("_o_block"))
     low = F.col("ord") >= F.col("o_ord") if itself else F.col("ord") > F.col("o_ord")
-    return inner.join(told, (F.col(key) == F.col(f"o_{key}")) & low & (F.col("ord") <= F.col("o_last")))
+    rows = inner.withColumn("_block", F.expr(f"ord div {BLOCK}"))
+    met = rows.join(told, (F.col(key) == F.col(f"o_{key}")) & (F.col("_block") == F.col("_o_block")) & low & (F.col("ord") <= F.col("o_last")))
+    return met.drop("_block", "_o_block")
