@@ -424,7 +424,13 @@ def redact_record(spark, d):
     return rows.select("conv_id", "turn", json_shapes.redact(F.col("raw")).alias("redacted"))
 
 
-@query()
+@query(_PLATFORM + rf""",
+c AS (SELECT *, nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), '') AS t FROM p),
+n AS (SELECT *, CASE WHEN regexp_matches(t, '{text.PAGE_NOISE}') OR regexp_matches(t, '{text.STYLE_RULES_ONLY}') THEN NULL ELSE t END AS u FROM c)
+SELECT doc_id, CASE WHEN u IS NULL OR regexp_matches(u, '{text.STATUS_ONLY_TITLE}') THEN address ELSE u END AS title, purpose, price, currency, kind AS "typeOfProperty", address, address AS location,
+ CASE WHEN pics THEN 'https://x.example/' || doc_id || '.jpg' END AS images, 'https://x.example/floor-plan/1.png' AS "floorPlan" FROM n""")
 def sanitised_platform(spark, d):
-    rows = _platform(spark, d).withColumn("floorPlan", F.array(F.lit("https://x.example/floor-plan/1.png")))
-    return quality.sanitise(rows.drop("description", "quality"))
+    rows = _platform(spark, d).withColumn("images", F.concat("images", F.array(F.lit("https://x.example/floor-plan/1.png"), F.lit("https://x.example/logo/a.png")))).drop("description", "quality", "source", "sourceUrl")
+    rows = rows.withColumn("floorPlan", F.array(F.lit("https://x.example/floor-plan/1.png")))
+    out = quality.sanitise(rows)
+    return out.select("doc_id", "title", "purpose", "price", "currency", "typeOfProperty", "address", "location", F.array_join("images", ",").alias("images"), F.array_join("floorPlan", ",").alias("floorPlan"))
