@@ -82,37 +82,48 @@ def coerce(value: Column, name: str, kind: str) -> Column:
 _KIND = {"toNumber": "double", "extractUrls": "array"}
 
 
-def apply_recipe(df: DataFrame, recipe: Recipe, raw: str = "raw") -> DataFrame:
-    """``df`` with the recipe's fields; others are null. Null or broken JSON gives nulls. A fixed value
-    wins over a path, purpose is put in its own words, and a currency needs three capitals."""
-    parsed = df.withColumn("_v", F.try_parse_json(raw))
+_TYPES = {**dict.fromkeys(STRING_FIELDS, "string"), **dict.fromkeys(NUMBER_FIELDS, "double"), **dict.fromkeys(ARRAY_FIELDS, "array<string>")}
+
+
+def mapped_columns(recipe: Recipe, parsed: str = "_v") -> dict[str, Column]:
+    """The recipe's fields as Columns over a record's variant, and mapping_confidence. A fixed value wins over
+    a path, purpose is put in its own words, and a currency needs three capitals."""
     out = {}
-    for name in STRING_FIELDS + NUMBER_FIELDS + ARRAY_FIELDS:
+    for name, kind in _TYPES.items():
         spec = recipe.fields.get(name)
-        kind = "array<string>" if name in ARRAY_FIELDS else "double" if name in NUMBER_FIELDS else "string"
         if not spec:
             out[name] = F.lit(None).cast(kind)
         elif spec.get("value") is not None:
             out[name] = coerce(F.lit(spec["value"]).cast("string"), name, "string")
         else:
-            at = F.try_variant_get("_v", f"$.{spec['path']}" if not spec["path"].startswith("[") else f"${spec['path']}", "variant")
+            at = F.try_variant_get(parsed, f"$.{spec['path']}" if not spec["path"].startswith("[") else f"${spec['path']}", "variant")
             t = spec.get("transform")
             out[name] = coerce(TRANSFORMS[t](at, spec.get("args") or {}) if t else extract_urls(F.to_json(at)) if name in ARRAY_FIELDS else _text(at), name, _KIND.get(t, "array" if name in ARRAY_FIELDS and not t else "string"))
     if "purpose" in recipe.fields:
         out["purpose"] = F.when(out["purpose"].isin("sale", "rent", "short-let", "unknown"), out["purpose"]).otherwise(listing.purpose(out["purpose"]))
     out["currency"] = F.when(F.upper(out["currency"]).rlike("^[A-Z]{3}$"), F.upper(out["currency"]))
-    return parsed.withColumns(out).withColumn("mapping_confidence", F.lit(recipe.confidence if recipe.fresh else min(recipe.confidence, 0.6))).drop("_v")
+    return out | {"mapping_confidence": F.lit(float(recipe.confidence if recipe.fresh else min(recipe.confidence, 0.6)))}
+
+
+def apply_recipe(df: DataFrame, recipe: Recipe, raw: str = "raw") -> DataFrame:
+    """``df`` with the recipe's fields; others are null. Null or broken JSON gives nulls."""
+    return df.withColumn("_v", F.try_parse_json(raw)).withColumns(mapped_columns(recipe)).drop("_v")
 
 
 def apply_recipes(df: DataFrame, recipes: list[Recipe], host: str = "host", raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """(mapped rows, rows of hosts without a recipe). One select for each host."""
-    known = [r.host for r in recipes]
-    mapped = None
-    for r in recipes:
-        one = apply_recipe(df.where(F.col(host) == r.host), r, raw)
-        mapped = one if mapped is None else mapped.unionByName(one)
-    blocked = df.where(~F.coalesce(F.col(host).isin(known), F.lit(False))) if known else df
-    return mapped if mapped is not None else df.limit(0), blocked
+    """(mapped rows, rows of hosts without a recipe). One scan and one parse for all hosts: a field is the
+    expression of its row's host, so their number bounds the plan, not the data. Null hosts have no recipe."""
+    if not recipes:
+        return df.limit(0), df
+    known = F.coalesce(F.col(host).isin([r.host for r in recipes]), F.lit(False))
+    compiled = [(F.col(host) == r.host, mapped_columns(r)) for r in recipes]
+    fields = {}
+    for name in [*_TYPES, "mapping_confidence"]:
+        told = [(at, columns[name]) for (at, columns), r in zip(compiled, recipes, strict=True) if name in r.fields or name == "mapping_confidence"]
+        value = F.coalesce(*[F.when(at, c) for at, c in told]) if told else F.lit(None).cast(_TYPES[name])
+        fields[name] = value
+    mapped = df.where(known).withColumn("_v", F.try_parse_json(raw)).withColumns(fields).drop("_v")
+    return mapped, df.where(~known)
 
 
 def even_sample(df: DataFrame, order: list[str], n: int = 8) -> DataFrame:

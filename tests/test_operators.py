@@ -102,6 +102,10 @@ def test_recipes(spark):
     one, two, three = mapped.collect()
     assert (one.price, one.images, one.title, one.address, one.purpose, one.mapping_confidence) == (5.0, ["https://a.example/1.jpg"], "Fixed", "1 Elm, York", "rent", 0.6)
     assert two.price is None and three.images is None and blocked.count() == 1
+    both = recipes.apply_recipes(rows, [r, recipes.Recipe.parse("other", {"version": 2, "confidence": 0.7, "mappings": {"city": {"value": "York"}, "price": {"path": "a.p", "transform": "toNumber"}}})])
+    got = sorted((x.host, x.price, x.title, x.city, x.mapping_confidence) for x in both[0].where("price is not null").collect())
+    assert got == [("h", 5.0, "Fixed", None, 0.6), ("other", 5.0, None, "York", 0.7)] and both[1].count() == 0
+    assert recipes.apply_recipes(rows, [])[1].count() == 4 and recipes.apply_recipes(rows.selectExpr("cast(null as string) as host", "raw"), [r])[1].count() == 4
 
 
 def test_json_shapes(spark):
