@@ -71,7 +71,7 @@ def plain(v):
     return v if v not in ("", []) else None
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(RECORD, min_size=1, max_size=8), st.integers(1, 3))
 def test_nested_merge_is_an_ordered_fold(spark, records, slices):
     df = spark.createDataFrame([row(i, r) for i, r in enumerate(records)], SCHEMA).repartition(slices)
