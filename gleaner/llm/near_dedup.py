@@ -260,6 +260,13 @@ def _dropped(n, least: float, ratio: float):
     return F.greatest(F.ceil(n * (least * (1 + ratio) / (1 + least)) - 1e-6) - 1, F.lit(0))
 
 
+def _possible(least: float):
+    """Whether texts a and b that share a token may share as many as they must: of those before it in the
+    common order and of those after it, no more than the one with fewer has."""
+    must = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6)
+    return F.least("ata", "atb") + F.least(F.col("ma") - F.col("ata"), F.col("mb") - F.col("atb")) >= must
+
+
 def numbered(hashes: np.ndarray) -> np.ndarray:
     """Sorted tokens of shingles: the second and later times of a shingle are tokens of their own."""
     h = np.sort(hashes)
@@ -431,9 +438,9 @@ def similar_texts(texts: DataFrame, rows: DataFrame, links: DataFrame, k: int =
     all whose ``texts`` (id, tag, text) have a similarity of ``least`` or more.
 
     Each token names the one of its texts whose tokens are the most frequent, as those of an original
-    are among its edited copies; a text is compared with the one that most of its tokens name. Then all
-    pairs that share a token and are in different components still, and share as many tokens as they must,
-    are compared, so none is lost.
+    are among its edited copies; of those that it may be alike to, a text is compared with the one that most
+    of its tokens name. Then all pairs that share a token, are in different components still, and may
+    share as many tokens as they must, by the places of that token in both, are compared, so none is lost.
     """
     one = save(rows.where("n > 0").groupBy("tag").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), "one")
     buckets = max(1, ceil((one.agg(F.sum("n")).first()[0] or 0) / TOKENS_PER_BUCKET))
@@ -442,33 +449,36 @@ def similar_texts(texts: DataFrame, rows: DataFrame, links: DataFrame, k: int =
     shared = save(found, "shared_tokens")
     release(texts.sparkSession)
     # A text all but a few of whose tokens are its own is alike to none. Copies of a text in several
-    # flushes may tell a token twice, which counts too many and never too few.
+    # flushes may tell a token twice, which counts too many here and never too few.
     enough = shared.groupBy("tag").agg(F.count(F.lit(1)).alias("m")).join(one.select("tag", "n"), "tag").where(F.col("m") > _dropped(F.col("n"), least, least))
-    has = save(shared.join(enough.select("tag", "n").hint("shuffle_hash"), "tag"), "likely_tokens")
+    has = save(shared.join(enough.select("tag", "n").hint("shuffle_hash"), "tag").dropDuplicates(["tag", "token"]), "likely_tokens")
     discard(shared)
     df = has.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     has = save(has.join(df, "token"), "counted_tokens")
-    place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("df"), "token"))
-    centre = F.sum("df").over(Window.partitionBy("tag")) / F.col("n")
-    ranked = has.select("token", "tag", "n", place.alias("at"), centre.alias("centre"))
+    own = Window.partitionBy("tag")
+    place = F.row_number().over(own.orderBy(F.desc("df"), "token"))
+    ranked = has.select("token", "tag", "n", place.alias("at"), F.count(F.lit(1)).over(own).alias("m"), (F.sum("df").over(own) / F.col("n")).alias("centre"))
     kept = save(ranked.where(F.col("at") > _dropped(F.col("n"), least, least)), "first_tokens")
     discard(has)
 
-    named = kept.groupBy("token").agg(F.max_by("tag", F.struct("centre", "tag")).alias("head"))
-    votes = kept.join(named.hint("merge"), "token").where("tag <> head").groupBy("tag", "head").agg(F.count(F.lit(1)).alias("m"))
-    best = votes.groupBy("tag").agg(F.max_by("head", F.struct("m", "head")).alias("head"))
-    found = _compared(texts, one, best.select(F.least("tag", "head").alias("a"), F.greatest("tag", "head").alias("b")).distinct(), k, least)
+    side = lambda x, rows, *also: rows.select("token", *also, F.col("tag").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "m", "at")])
+    fields = F.struct("tag", "n", "m", "at")
+    named = kept.groupBy("token").agg(F.max_by(fields, F.struct("centre", "tag")).alias("head"))
+    named = named.select("token", F.col("head.tag").alias("b"), *[F.col(f"head.{c}").alias(f"{c}b") for c in ("n", "m", "at")])
+    votes = side("a", kept).join(named.hint("merge"), "token").where((F.col("a") != F.col("b")) & _possible(least)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
+    best = votes.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+    found = _compared(texts, one, best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), k, least)
 
     known = save(components(save(links.unionByName(found), "links")), "roots")
     comps = one.select("tag", "fp").join(known, F.col("fp") == F.col("node"), "left").select("tag", F.coalesce("root", "fp").alias("comp"))
-    told = save(kept.join(comps, "tag").select("token", "tag", "n", "at", "comp"), "told")
+    told = save(kept.join(comps, "tag").select("token", "tag", "n", "m", "at", "comp"), "told")
     mixed = told.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
     told = save(told.join(mixed, "token"), "mixed")
     band = F.floor(F.log("n") / F.log(F.lit(1 / CLOSE)) + 1e-9).cast("int")
     bands = ceil(np.log(least) / np.log(CLOSE)) + 1
     near, far = told.where(F.col("at") > _dropped(F.col("n"), least, CLOSE)), told.withColumn("band", band)
     wider = far.withColumn("band", F.explode(F.array(*[F.col("band") - i for i in range(bands)])))
-    side = lambda x, rows, *also: rows.select("token", *also, F.col("tag").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}")).hint("merge")
+    ends = lambda x, rows, *also: side(x, rows, F.col("comp").alias(f"c{x}"), *also).hint("merge")
     na, nb = F.col("na"), F.col("nb")
     close = F.least(na, nb) >= F.greatest(na, nb) * CLOSE
 
@@ -477,9 +487,9 @@ def similar_texts(texts: DataFrame, rows: DataFrame, links: DataFrame, k: int =
         must = F.ceil((na + nb) * (least / (1 + least)) - 1e-6) - F.greatest(_dropped(na, least, ratio), _dropped(nb, least, ratio))
         return counts.where(F.col("m") >= must).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    pairs = likely(side("a", near).join(side("b", near), "token").where((F.col("ca") < F.col("cb")) & close), CLOSE)
-    met = side("a", far, "band").join(side("b", wider, "band"), ["token", "band"])
-    pairs = pairs.unionByName(likely(met.where((F.col("ca") != F.col("cb")) & (na < nb) & ~close & (na >= nb * least - 1e-9)), least)).distinct()
+    pairs = likely(ends("a", near).join(ends("b", near), "token").where((F.col("ca") < F.col("cb")) & close & _possible(least)), CLOSE)
+    met = ends("a", far, "band").join(ends("b", wider, "band"), ["token", "band"])
+    pairs = pairs.unionByName(likely(met.where((F.col("ca") != F.col("cb")) & (na < nb) & ~close & (na >= nb * least - 1e-9) & _possible(least)), least)).distinct()
     return found.unionByName(_compared(texts, one, pairs, k, least))
 
 

@@ -155,3 +155,19 @@ def test_pairs_that_share_common_shingles_are_complete(spark, monkeypatch):
                 up[max(x, y)] = min(x, y)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert sorted(r.doc_id for r in m.keep_one(docs).collect()) == sorted({root(i) for i in range(len(texts))})
+
+
+def test_places_of_a_shared_token_rule_out_no_pair_that_is_alike(spark):
+    rng = random.Random(24)
+    base, rows, alike = list(range(100)), [], {}
+    for pair in range(300):
+        # Tokens in their common order; those from 100 on are a text's own, and have no place.
+        a, b = ({*base} - {*rng.sample(base, gone)} | {rng.randrange(100, 10**9) for _ in range(gone)} for gone in rng.choices([2, 5, 6, 20], k=2))
+        alike[pair] = len(a & b) / len(a | b) >= 0.8
+        x, y = ({t: i + 1 for i, t in enumerate(sorted(own & {*base}))} for own in (a, b))
+        rows += [(pair, len(a), len(x), x[t], len(b), len(y), y[t]) for t in x.keys() & y.keys()]
+    met = spark.createDataFrame(rows, "pair int, na int, ma int, ata int, nb int, mb int, atb int")
+    possible = {r.pair: r.c for r in met.where(m._possible(0.8)).groupBy("pair").agg(m.F.count("*").alias("c")).collect()}
+    every = {r.pair: r.c for r in met.groupBy("pair").agg(m.F.count("*").alias("c")).collect()}
+    assert all(possible.get(p) == every[p] for p, yes in alike.items() if yes) and 20 < sum(alike.values()) < 280
+    assert sum(possible.values()) < sum(every.values())
