@@ -31,7 +31,7 @@ SEGMENT_TOKENS = 1 << 20
 #: Every so many documents the place of its one bit is kept.
 SELECT_EVERY = 256
 #: Pieces between white space whose ids a worker remembers, for speed alone.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 SEGMENT_SCHEMA = "part int, segment int, first_token long, n_docs int, n_nulls int, n_tokens int, width int, ends binary, least_id long, doc_ids binary, ids binary"
 
@@ -92,7 +92,8 @@ _tokenizers: dict[str, object] = {}
 _known: dict[str, tuple[dict[bytes, bytes], dict[str, bytes]]] = {}
 #: A word of letters that no normalisation joins with its neighbours, between ASCII marks. The
 #: vocabularies with word ends cut text at the borders of letters and lower-case it.
-_WORD = re.compile(r"([!-&(-/:-@\[-^`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)")
+#: Each line of several is such a word, or else whatever it is.
+_WORDS = re.compile(r"^(?:([!-&(-/:-@\[-^`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*)|(.+))$", re.M)
 _WORD_END = "</w>"
 
 
@@ -132,19 +133,17 @@ def _encode_words(words: list[str], vocabulary: str, dtype: str) -> list[bytes]:
 _ends: dict[str, np.ndarray] = {}
 
 
-def _learn(stretches: set[bytes], vocabulary: str, dtype: str) -> None:
+def _learn(stretches: list[bytes], vocabulary: str, dtype: str) -> None:
     """Encodes stretches that are not known yet, by their words and marks where they have such."""
     known, words = _known[vocabulary]
     parts, rest = {}, []
-    every = b" ".join(stretches).decode()
+    every = b"\n".join(stretches).decode()
     special = [t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values() if t.content in every]
-    for p in stretches:
-        text = p.decode()
-        m = _WORD.fullmatch(text)
-        if m and not (special and any(t in text for t in special)):
-            parts[p] = (m[1], m[2].lower(), m[3])
-        else:
+    for p, (a, b, c, other) in zip(stretches, _WORDS.findall(every)):
+        if other or special and any(t in p.decode() for t in special):
             rest.append(p)
+        else:
+            parts[p] = (a, b.lower(), c)
     new = [*{w for own in parts.values() for w in own if w and w not in words}]
     words[""] = b""
     if new:
@@ -166,23 +165,9 @@ def encode_texts(texts: list[bytes | None], vocabulary: str, dtype: str) -> list
         known.clear()
     if len(words) > REMEMBERED:
         words.clear()
-    found, gaps, missing = [], [], set()
-    for text in texts:
-        pieces = text.split() if text else []
-        ids = [*map(known.get, pieces)]
-        if None in ids:
-            gap, i = [], -1
-            for _ in range(ids.count(None)):
-                i = ids.index(None, i + 1)
-                gap.append(i)
-            missing.update(map(pieces.__getitem__, gap))
-            gaps.append((ids, pieces, gap))
-        found.append(ids)
-    _learn(missing, vocabulary, dtype)
-    for ids, pieces, gap in gaps:
-        for i in gap:
-            ids[i] = known[pieces[i]]
-    return [b"".join(ids) for ids in found]
+    pieces = [text.split() if text else [] for text in texts]
+    _learn([*set().union(*pieces).difference(known)], vocabulary, dtype)
+    return [b"".join(map(known.__getitem__, own)) for own in pieces]
 
 
 def _writer(vocabulary: str, end_id: int, segment_tokens: int):

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
+from gleaner.llm import token_files
 from gleaner.llm.token_files import _tokenizer, ef_decode, ef_encode, ef_select, encode_texts, read_tokens, write_tokens
 
 VOCABULARY = "word_bpe_49k.json"
@@ -47,3 +48,16 @@ def test_round_trip(spark, tmp_path):
         start += n
     write_tokens(docs.limit(0), str(tmp_path / "e"))
     assert read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_a_worker_learns_a_piece_once(monkeypatch):
+    learned, learn = [], token_files._learn
+    monkeypatch.setattr(token_files, "_learn", lambda stretches, *how: (learned.append(len(stretches)), learn(stretches, *how))[1])
+    monkeypatch.setattr(token_files, "_known", {})
+    letters = "abcdefghijklmnopqrst"
+    texts = [" ".join(a + b + c + d + e for b in letters for c in letters for d in letters for e in letters).encode() for a in letters[:2]]
+    texts.append(texts[0].replace(b" ", b", "))
+    for text in [*texts, texts[0]]:
+        ids = encode_texts([text], VOCABULARY, "<u2")[0]
+    assert learned == [160_000, 160_000, 159_999, 0]
+    assert np.frombuffer(ids, "<u2").tolist() == _tokenizer(VOCABULARY).encode(texts[0].decode(), add_special_tokens=False).ids
