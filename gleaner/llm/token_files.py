@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,11 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 1
 SEGMENT_TOKENS = 1 << 20
 #: Every so many documents the place of its one bit is kept.
 SELECT_EVERY = 256
-#: Pieces between white space whose ids a worker remembers, for speed alone.
-REMEMBERED = 1_000_000
+#: Pieces whose ids each half of what a worker remembers holds, for speed alone. Two workers share an
+#: executor's memory with its JVM, so what is remembered has to stay a small part of it.
+REMEMBERED = 350_000
+#: Bytes, by hash, that tell which pieces were met before.
+MET = 1 << 22
 
 SEGMENT_SCHEMA = "part int, segment int, first_token long, n_docs int, n_nulls int, n_tokens int, width int, ends binary, least_id long, doc_ids binary, ids binary"
 
@@ -88,8 +92,9 @@ def ef_select(blob: bytes, i: int) -> int:
 # --- Tokens ---------------------------------------------------------------------------------
 
 _tokenizers: dict[str, object] = {}
-#: For each vocabulary: the ids of stretches without white space, and of single words and marks.
-_known: dict[str, tuple[dict[bytes, bytes], dict[str, bytes]]] = {}
+#: For each vocabulary: the ids of stretches without white space and of their words and marks, in a recent and an older half.
+_known: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
+_met: dict[str, bytearray] = {}
 #: A word of letters that no normalisation joins with its neighbours, between ASCII marks. The
 #: vocabularies with word ends cut text at the borders of letters and lower-case it.
 #: Each line of several is such a word, or else whatever it is.
@@ -133,9 +138,19 @@ def _encode_words(words: list[str], vocabulary: str, dtype: str) -> list[bytes]:
 _ends: dict[str, np.ndarray] = {}
 
 
-def _learn(stretches: list[bytes], vocabulary: str, dtype: str) -> None:
-    """Encodes stretches that are not known yet, by their words and marks where they have such."""
-    known, words = _known[vocabulary]
+def _recall(wanted: set[bytes], vocabulary: str) -> set[bytes]:
+    """Those ``wanted`` pieces that are not known. What only the older half knows is recent from now on."""
+    recent, older = _known[vocabulary]
+    old = wanted.difference(recent)
+    new = old.difference(older)
+    recent.update([(p, older[p]) for p in old.difference(new)])
+    return new
+
+
+def _learn(stretches: list[bytes], vocabulary: str, dtype: str) -> set[bytes]:
+    """Encodes stretches that are not known yet, by their words and marks where they have such. All pieces
+    that are known from now on."""
+    recent = _known[vocabulary][0]
     parts, rest = {}, []
     every = b"\n".join(stretches).decode()
     special = [t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values() if t.content in every]
@@ -143,15 +158,24 @@ def _learn(stretches: list[bytes], vocabulary: str, dtype: str) -> None:
         if other or special and any(t in p.decode() for t in special):
             rest.append(p)
         else:
-            parts[p] = (a, b.lower(), c)
-    new = [*{w for own in parts.values() for w in own if w and w not in words}]
-    words[""] = b""
-    if new:
-        words.update(zip(new, _encode_words(new, vocabulary, dtype)))
-    for p, (a, b, c) in parts.items():
-        known[p] = words[a] + words[b] + words[c]
+            parts[p] = (a.encode(), b.lower().encode(), c.encode())
+    recent[b""] = b""
+    if new := [*_recall(set(chain.from_iterable(parts.values())), vocabulary)]:
+        recent.update(zip(new, _encode_words(b" ".join(new).decode().split(" "), vocabulary, dtype)))
+    recent.update([(p, recent[a] + recent[b] + recent[c]) for p, (a, b, c) in parts.items()])
     for p, e in zip(rest, _tokenizer(vocabulary).encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)):
-        known[p] = np.array(e.ids, dtype).tobytes()
+        recent[p] = np.array(e.ids, dtype).tobytes()
+    return {*stretches, *new}
+
+
+def _forget(learned: set[bytes], vocabulary: str) -> None:
+    """Forgets ``learned`` pieces that are met for the first time since the halves were exchanged: most never return."""
+    recent, met = _known[vocabulary][0], _met.setdefault(vocabulary, bytearray(MET))
+    for p in learned:
+        at = hash(p) % MET
+        if not met[at]:
+            met[at] = 1
+            del recent[p]
 
 
 def encode_texts(texts: list[bytes | None], vocabulary: str, dtype: str) -> list[bytes]:
@@ -159,15 +183,20 @@ def encode_texts(texts: list[bytes | None], vocabulary: str, dtype: str) -> list
 
     The vocabulary drops white space and looks at no piece across it, so a text's ids are those of
     its stretches between white space in turn, and a stretch seen before need not be encoded again.
+    Once the recent half is full it becomes the older one, whose pieces stay if they are met again;
+    from then on new pieces are remembered when they are met a second time.
     """
-    known, words = _known.setdefault(vocabulary, ({}, {}))
-    if len(known) > REMEMBERED:
-        known.clear()
-    if len(words) > REMEMBERED:
-        words.clear()
+    recent, _ = _known.setdefault(vocabulary, ({}, {}))
+    if len(recent) > REMEMBERED:
+        _known[vocabulary] = {}, recent
+        _met.pop(vocabulary, None)
     pieces = [text.split() if text else [] for text in texts]
-    _learn([*set().union(*pieces).difference(known)], vocabulary, dtype)
-    return [b"".join(map(known.__getitem__, own)) for own in pieces]
+    learned = _learn([*_recall(set().union(*pieces), vocabulary)], vocabulary, dtype)
+    known, older = _known[vocabulary]
+    encoded = [b"".join(map(known.__getitem__, own)) for own in pieces]
+    if older:
+        _forget(learned, vocabulary)
+    return encoded
 
 
 def _writer(vocabulary: str, end_id: int, segment_tokens: int):

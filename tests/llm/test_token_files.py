@@ -1,5 +1,6 @@
 """Elias-Fano sequences, token ids against the tokenizer on whole texts, and the files' round trip."""
 
+import sys
 import zlib
 
 import numpy as np
@@ -61,3 +62,15 @@ def test_a_worker_learns_a_piece_once(monkeypatch):
         ids = encode_texts([text], VOCABULARY, "<u2")[0]
     assert learned == [160_000, 160_000, 159_999, 0]
     assert np.frombuffer(ids, "<u2").tolist() == _tokenizer(VOCABULARY).encode(texts[0].decode(), add_special_tokens=False).ids
+
+
+def test_what_a_worker_remembers_stays_small_and_keeps_what_is_met_again(monkeypatch):
+    learned, learn = [], token_files._learn
+    monkeypatch.setattr(token_files, "_learn", lambda stretches, *how: (learned.extend(stretches), learn(stretches, *how))[1])
+    monkeypatch.setattr(token_files, "_known", {})
+    letters, marks = "abcdefghijklmnopqrst", ",.;:!?"
+    for a, mark in zip(letters, marks):  # 960,000 pieces, each with a mark
+        encode_texts([("often " + " ".join(a + b + c + d + e + mark for b in letters for c in letters for d in letters for e in letters)).encode()], VOCABULARY, "<u2")
+    assert learned.count(b"often") == 1
+    held = [x for known in token_files._known[VOCABULARY] for pair in (known, *known.items()) for x in (pair if isinstance(pair, tuple) else (pair,))]
+    assert sum({id(x): sys.getsizeof(x) for x in held}.values()) < 150e6
