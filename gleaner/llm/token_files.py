@@ -12,12 +12,14 @@ equal ids follow each other, by a hash of the text. An empty table gives no segm
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress, filterfalse, islice
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -91,9 +93,24 @@ def ef_select(blob: bytes, i: int) -> int:
 
 # --- Tokens ---------------------------------------------------------------------------------
 
+class _Recent(dict):
+    """Ids of pieces. One that is missing is recent from now on if the older half has it; else it is new, and
+    has a hole that is filled once its ids are known."""
+
+    def __init__(self, older: dict[bytes, bytes]):
+        self.older, self.new = older, {}
+
+    def __missing__(self, piece: bytes) -> bytes | bytearray:
+        ids = self.older.get(piece)
+        if ids is None:
+            return self.new.setdefault(piece, bytearray())
+        self[piece] = ids
+        return ids
+
+
 _tokenizers: dict[str, object] = {}
 #: For each vocabulary: the ids of stretches without white space and of their words and marks, in a recent and an older half.
-_known: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
+_known: dict[str, tuple[_Recent, dict[bytes, bytes]]] = {}
 _met: dict[str, bytearray] = {}
 #: A word of letters that no normalisation joins with its neighbours, between ASCII marks. The
 #: vocabularies with word ends cut text at the borders of letters and lower-case it.
@@ -116,13 +133,35 @@ def _tokenizer(vocabulary: str):
     return _tokenizers[vocabulary]
 
 
+def _word_tokenizer(vocabulary: str):
+    """A tokenizer with the same model for what ``_WORDS`` cuts out, in lower case: these rules change no such
+    word and cut none, so it need only split at blanks. Under other rules the vocabulary's own."""
+    if vocabulary not in _word_tokenizers:
+        whole = _word_tokenizers[vocabulary] = _tokenizer(vocabulary)
+        told = [json.loads(x.__getstate__()) if x else None for x in (whole.normalizer, whole.pre_tokenizer)]
+        if told == [_LOWERED, _BY_LETTERS]:
+            from tokenizers import Tokenizer, pre_tokenizers as pre
+
+            _word_tokenizers[vocabulary] = Tokenizer(whole.model)
+            _word_tokenizers[vocabulary].pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return _word_tokenizers[vocabulary]
+
+
+_word_tokenizers: dict[str, object] = {}
+_LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_BY_LETTERS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
 def id_width(vocabulary: str, end_id: int) -> int:
     return 2 if max(_tokenizer(vocabulary).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
 def _encode_words(words: list[str], vocabulary: str, dtype: str) -> list[bytes]:
     """The ids of each word, all encoded as one text and cut where a token ends a word."""
-    tokenizer = _tokenizer(vocabulary)
+    tokenizer = _word_tokenizer(vocabulary)
     ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
     if vocabulary not in _ends:
         vocab = tokenizer.get_vocab()
@@ -141,8 +180,9 @@ _ends: dict[str, np.ndarray] = {}
 def _recall(wanted: set[bytes], vocabulary: str) -> set[bytes]:
     """Those ``wanted`` pieces that are not known. What only the older half knows is recent from now on."""
     recent, older = _known[vocabulary]
-    old = wanted.difference(recent)
-    new = old.difference(older)
+    # Not ``difference``, which goes through all of a dict that is derived.
+    old = {*filterfalse(recent.__contains__, wanted)}
+    new = {*filterfalse(older.__contains__, old)}
     recent.update([(p, older[p]) for p in old.difference(new)])
     return new
 
@@ -151,18 +191,18 @@ def _learn(stretches: list[bytes], vocabulary: str, dtype: str) -> set[bytes]:
     """Encodes stretches that are not known yet, by their words and marks where they have such. All pieces
     that are known from now on."""
     recent = _known[vocabulary][0]
-    parts, rest = {}, []
+    recent[b""] = b""
     every = b"\n".join(stretches).decode()
     special = [t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values() if t.content in every]
-    for p, (a, b, c, other) in zip(stretches, _WORDS.findall(every)):
-        if other or special and any(t in p.decode() for t in special):
-            rest.append(p)
-        else:
-            parts[p] = (a.encode(), b.lower().encode(), c.encode())
-    recent[b""] = b""
-    if new := [*_recall(set(chain.from_iterable(parts.values())), vocabulary)]:
-        recent.update(zip(new, _encode_words(b" ".join(new).decode().split(" "), vocabulary, dtype)))
-    recent.update([(p, recent[a] + recent[b] + recent[c]) for p, (a, b, c) in parts.items()])
+    found, new = _WORDS.findall(every), []
+    plain = [not (m[3] or special and any(t in p.decode() for t in special)) for p, m in zip(stretches, found)]
+    rest = [p for p, is_plain in zip(stretches, plain) if not is_plain]
+    if any(plain):
+        parts = ["\n".join(x).lower().encode().split(b"\n") for x in islice(zip(*compress(found, plain)), 3)]
+        if new := [*_recall(set().union(*parts), vocabulary)]:
+            recent.update(zip(new, _encode_words(b" ".join(new).decode().split(" "), vocabulary, dtype)))
+        before, word, after = (map(recent.__getitem__, x) for x in parts)
+        recent.update(zip(compress(stretches, plain), map(add, map(add, before, word), after)))
     for p, e in zip(rest, _tokenizer(vocabulary).encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)):
         recent[p] = np.array(e.ids, dtype).tobytes()
     return {*stretches, *new}
@@ -186,14 +226,20 @@ def encode_texts(texts: list[bytes | None], vocabulary: str, dtype: str) -> list
     Once the recent half is full it becomes the older one, whose pieces stay if they are met again;
     from then on new pieces are remembered when they are met a second time.
     """
-    recent, _ = _known.setdefault(vocabulary, ({}, {}))
+    if vocabulary not in _known:
+        _known[vocabulary] = _Recent({}), {}
+    recent, older = _known[vocabulary]
     if len(recent) > REMEMBERED:
-        _known[vocabulary] = {}, recent
+        recent.older, older = {}, recent
+        recent = _Recent(older)
+        _known[vocabulary] = recent, older
         _met.pop(vocabulary, None)
-    pieces = [text.split() if text else [] for text in texts]
-    learned = _learn([*_recall(set().union(*pieces), vocabulary)], vocabulary, dtype)
-    known, older = _known[vocabulary]
-    encoded = [b"".join(map(known.__getitem__, own)) for own in pieces]
+    pieces = [[*map(recent.__getitem__, text.split())] if text else [] for text in texts]
+    new, recent.new = recent.new, {}
+    learned = _learn([*new], vocabulary, dtype)
+    for piece, hole in new.items():
+        hole += recent[piece]
+    encoded = [*map(b"".join, pieces)]
     if older:
         _forget(learned, vocabulary)
     return encoded

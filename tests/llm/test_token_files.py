@@ -74,3 +74,18 @@ def test_what_a_worker_remembers_stays_small_and_keeps_what_is_met_again(monkeyp
     assert learned.count(b"often") == 1
     held = [x for known in token_files._known[VOCABULARY] for pair in (known, *known.items()) for x in (pair if isinstance(pair, tuple) else (pair,))]
     assert sum({id(x): sys.getsizeof(x) for x in held}.values()) < 150e6
+
+
+def test_words_are_neither_normalised_nor_cut_again_and_pieces_are_looked_up_once(monkeypatch):
+    monkeypatch.setattr(token_files, "_known", {})
+    words = token_files._word_tokenizer(VOCABULARY)
+    assert words is not _tokenizer(VOCABULARY) and words.normalizer is None
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)] if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    text = " ".join([*letters, *marks, *(a + b + c for a in marks for b in letters for c in marks[:9]), *(a + b for a in letters for b in letters)])
+    want = _tokenizer(VOCABULARY).encode(text, add_special_tokens=False).ids
+    asked = []
+    monkeypatch.setattr(token_files._Recent, "__missing__", lambda self, piece, missing=token_files._Recent.__missing__: (asked.append(piece), missing(self, piece))[1])
+    for _ in range(2):
+        assert np.frombuffer(encode_texts([text.encode()], VOCABULARY, "<u2")[0], "<u2").tolist() == want
+    assert len(asked) == len(set(asked)) == len(set(text.split()))  # none of them the second time
