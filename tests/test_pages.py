@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.sources import page_steps as steps
-from gleaner.sources.nodes import MAX_TEXT, elements, nodes
+from gleaner.sources import nodes as sources
+from gleaner.sources.nodes import MAX_TEXT, elements, ended, nodes
 
 PAGE = """<html><head><title>Homes</title><meta property="og:title" content="2 bedroom flat for sale"><link rel="canonical" href="https://a.example/p">
 <script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"Agency"},{"@type":"House","name":"Elm","offers":[{"price":250000,"priceCurrency":"GBP"}],"address":{"streetAddress":"1 Elm Road","postalCode":"YO1 1AA"},"numberOfRooms":3,"image":["https://a.example/1.jpg"]}]}</script>
@@ -37,6 +38,30 @@ def test_text_is_kept_up_to_a_size_and_whole_where_it_is_data():
     assert rows["b"] == (None, None) and rows["title"][0] == rows["i"][0] == long and rows["u"] == (" a s\n b ", "a b")
 
 
+@pytest.mark.parametrize("cut", [1, 7, 40])
+def test_a_page_in_pieces_is_that_page(monkeypatch, cut):
+    monkeypatch.setattr(sources, "CHUNK", 3 * cut)
+    pieces = [PAGE[at : at + cut] for at in range(0, len(PAGE), cut)]
+    assert sorted(ended([None, *pieces]), key=lambda e: e[0]) == [*elements(PAGE)]
+
+
+def test_pieces_meet_in_the_order_of_their_places(spark):
+    rows = [(k, at, PAGE[at : at + 99]) for k in (5, 6) for at in range(0, len(PAGE), 99)] + [(7, 1, "</b>"), (7, 0, "<b>x"), (7, 2, None)]
+    own = nodes(spark.createDataFrame(rows, "page_id int, place int, html string").repartition(7), place="place").drop("attrs", "visible")
+    whole = nodes(spark.createDataFrame([(5, PAGE), (6, PAGE), (7, "<b>x</b>")], "page_id int, html string")).drop("attrs", "visible")
+    assert sorted(map(tuple, own.collect()), key=lambda r: r[:2]) == sorted(map(tuple, whole.collect()), key=lambda r: r[:2])
+
+
+def test_a_long_page_is_not_held_by_its_worker():
+    page, most = sources._Elements(), 0
+    page.feed("<html><body><ul>")
+    for i in range(20_000):
+        page.feed(f"<li>part {i}<b>x</b>")
+        most = max(most, len(page.texts))
+        page.taken()
+    assert most < 5_000 and page.count == 40_003 and len(page.open) < 6
+
+
 def test_steps_on_one_page(page):
     own, pages = page
     linked = steps.linked_listings(own).collect()
