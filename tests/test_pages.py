@@ -79,6 +79,21 @@ def test_steps_on_one_page(page):
     assert [(r.page_id, r.strategy, json.loads(r.raw)["id"]) for r in steps.first_strategy(own).collect()] == [(1, "embedded", 1)]
 
 
+def test_each_page_has_its_first_strategy_and_a_small_plan(spark):
+    card = '<li class="c"><h3>Card {0}</h3> £1,{0}00 3 bed house</li>'
+    marked = '<div itemscope itemtype="https://schema.org/House"><b itemprop="name">Oak</b><i itemprop="price">5</i></div>'
+    linked = '<script type="application/ld+json">[{"@type":"House","name":"B"},{"@type":"House","name":"A"}]</script>'
+    state = '<script>window.__NUXT__ = [{"id":2,"price":1,"beds":1,"address":"x"},{"id":1}]</script>'
+    cards = card.format(2) + card.format(1)
+    pages = [(1, state + linked + marked + cards), (2, linked + marked + cards), (3, marked + cards), (4, cards), (5, "<p>none")]
+    rows = steps.first_strategy(nodes(spark.createDataFrame(pages, "page_id int, html string")))
+    got = [(r.page_id, r.strategy, r.pos) for r in rows.orderBy("page_id", "pos").collect()]
+    assert got == [(1, "embedded", 0), (1, "embedded", 1), (2, "linked", 0), (2, "linked", 1), (3, "marked up", 0), (4, "cards", 0), (4, "cards", 1)]
+    assert [json.loads(r.raw)["title"] for r in rows.where("page_id in (2, 4)").orderBy("page_id", "pos").collect()] == ["B", "A", "Card 2", "Card 1"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
+
+
 def rows_of(spark, html):
     return nodes(spark.createDataFrame([(1, html)], "page_id int, html string"))
 
