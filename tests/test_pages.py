@@ -149,3 +149,13 @@ def test_linked_data_of_odd_shapes(spark):
 def test_no_pages(spark):
     own = nodes(spark.createDataFrame([], "page_id int, html string"))
     assert steps.first_strategy(own).count() == 0 == steps.cards(own).count() and own.where(F.col("tag") == "a").count() == 0
+
+
+def test_the_cascade_counts_what_is_written(spark, tmp_path):
+    from gleaner.plans.pages import strategy_cascade
+
+    spark.range(9).selectExpr("id as p_partkey", "concat('part ', id) as p_name", "cast(id % 3 + 3 as int) as p_size", "id + 900.5 as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    rows = strategy_cascade(spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [("embedded", 1, 3), ("linked", 2, 2)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInPandas" not in plan
