@@ -159,3 +159,16 @@ def test_the_cascade_counts_what_is_written(spark, tmp_path):
     assert sorted(map(tuple, rows.collect())) == [("embedded", 1, 3), ("linked", 2, 2)]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "MapInPandas" not in plan
+
+
+def test_pages_of_parts_are_not_gathered(spark, tmp_path):
+    """A piece for each part and list item, whatever a page holds; parts without a name or price are no cards."""
+    from gleaner.plans import pages
+
+    rows = [(i, None if i == 8 else f"part {i}", 4 if i < 20 else 5, None if i == 12 else 1900.5) for i in range(24)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    made = pages._pages(spark, str(tmp_path))
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.where("html is not null").count() == 22 + 19 + 2 * 3
+    ids = [str(i) for i in range(20) if i != 12]
+    assert [(r.page_id, r.n, r.ids) for r in pages.page_embedded(spark, str(tmp_path)).collect()] == [(4, 19, ",".join(ids))]
