@@ -161,6 +161,13 @@ def test_the_cascade_counts_what_is_written(spark, tmp_path):
     assert "Join" not in plan and "MapInPandas" not in plan
 
 
+def test_the_first_options_are_not_gathered(spark):
+    more = "".join(f"<option value={i}>{i}" for i in range(300))
+    rows = steps.place_options(rows_of(spark, f"<select name=Area>{more}</select><select name=Town><option value=x>x</select>"))
+    assert [(r.place, r.name, r.value) for r in rows.orderBy("place").collect()] == [(i, "area", str(i)) for i in range(steps.MAX_OPTIONS)]
+    assert "collect_list" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pages_of_parts_are_not_gathered(spark, tmp_path):
     """A piece for each part and list item, whatever a page holds; parts without a name or price are no cards."""
     from gleaner.plans import pages
