@@ -179,3 +179,12 @@ def test_pages_of_parts_are_not_gathered(spark, tmp_path):
     assert made.where("html is not null").count() == 22 + 19 + 2 * 3
     ids = [str(i) for i in range(20) if i != 12]
     assert [(r.page_id, r.n, r.ids) for r in pages.page_embedded(spark, str(tmp_path)).collect()] == [(4, 19, ",".join(ids))]
+
+
+def test_counts_of_records_are_written(spark, tmp_path):
+    from gleaner.plans import pages
+
+    spark.range(8).selectExpr("id as p_partkey", "concat('part ', id) as p_name", "cast(id % 2 + 4 as int) as p_size", "id + 900.5 as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    rows = pages.page_records(spark, str(tmp_path))
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.kind: r.n for r in rows.where("page_id = 4").collect()} == {"card": 4, "linked": 1, "open graph": 1, "image": 3, "embedded": 1, "contact": 8, "next page": 1, "place": 2}
